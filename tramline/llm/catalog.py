@@ -2,16 +2,28 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import blocknames
+from . import base, blocknames, editmatch, packing, records, subwords
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_bin_slack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+def op2_framed_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = base.scratch_path(spark, "records")
+    records.write_records(_table(spark, sf_dir, "documents"), path, public_tokenizers.path("word_bpe_49k.json"))
+    return records.read_records(spark, path, ("doc_id", "start", "n_tokens", "ids_crc32"))
+
+
 def op5_block_naming(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = blocknames.exact_duplicates(_table(spark, sf_dir, "documents"))
     return out.select("doc_id", "keep_id", F.col("group_size").cast("long").alias("group_size"), "kept", "text_sha256")
@@ -27,8 +39,23 @@ SELECT doc_id, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION B
 FROM d WINDOW w AS (PARTITION BY text_sha256 ORDER BY n DESC, doc_id)
 """
 
+def op6_subword_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    scored = subwords.score(docs, subwords.fit(docs, _table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", (base.id_fold(F.col("doc_id"), 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def op7_pigeonhole_edit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    leaks = editmatch.find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return leaks.select("doc_id", "item_id", "distance", "start", "end")
+
+
 QUERIES = {
+    "op1_bin_slack": op1_bin_slack,
+    "op2_framed_records": op2_framed_records,
     "op5_block_naming": op5_block_naming,
+    "op6_subword_quality": op6_subword_quality,
+    "op7_pigeonhole_edit": op7_pigeonhole_edit,
 }
 ORACLE_SQL = {
     "op5_block_naming": OP5_SQL,
