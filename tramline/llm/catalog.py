@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import base, blocknames, editmatch, packing, records, subwords
+from . import base, blocknames, editmatch, packing, records, subwords, urldigest, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,6 +24,31 @@ def op2_framed_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.read_records(spark, path, ("doc_id", "start", "n_tokens", "ids_crc32"))
 
 
+#: The rules that the query judges by.
+URL_RULES = [("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block")]
+
+
+def op4_digest_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urldigest.filter_urls(_table(spark, sf_dir, "pages"), URL_RULES)
+
+
+OP4_SQL = r"""
+WITH rules(rule, action) AS (
+  VALUES ('com/', 'allow'), ('example.com/en/', 'block'), ('www.example.com/en/', 'allow'), ('net/es/', 'block'), ('net/fr/', 'block')),
+parts AS (
+  SELECT page_id, row_number() OVER () AS n,
+         translate(coalesce(regexp_extract(url, '://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         coalesce(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '') AS path
+  FROM pages),
+fits AS (
+  SELECT n, arg_max(rule, length(rule)) AS rule, arg_max(action, length(rule)) AS action
+  FROM parts, rules
+  WHERE ('.' || host) LIKE ('%.' || split_part(rule, '/', 1)) AND starts_with(path, substr(rule, strpos(rule, '/')))
+  GROUP BY n)
+SELECT page_id, host, path, rule, coalesce(action, 'allow') AS verdict FROM parts LEFT JOIN fits USING (n)
+"""
+
+
 def op5_block_naming(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = blocknames.exact_duplicates(_table(spark, sf_dir, "documents"))
     return out.select("doc_id", "keep_id", F.col("group_size").cast("long").alias("group_size"), "kept", "text_sha256")
@@ -50,13 +75,22 @@ def op7_pigeonhole_edit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks.select("doc_id", "item_id", "distance", "start", "end")
 
 
+def op8_sequential_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = base.scratch_path(spark, "warc")
+    files = warc.write_warc(_table(spark, sf_dir, "pages"), path)
+    return warc.read_warc(spark, path, [f["file"] for f in files if f["records"]], ("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"))
+
+
 QUERIES = {
     "op1_bin_slack": op1_bin_slack,
     "op2_framed_records": op2_framed_records,
+    "op4_digest_filter": op4_digest_filter,
     "op5_block_naming": op5_block_naming,
     "op6_subword_quality": op6_subword_quality,
     "op7_pigeonhole_edit": op7_pigeonhole_edit,
+    "op8_sequential_warc": op8_sequential_warc,
 }
 ORACLE_SQL = {
+    "op4_digest_filter": OP4_SQL,
     "op5_block_naming": OP5_SQL,
 }
