@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import base, blocknames, editmatch, packing, records, subwords, urldigest, warc
+from . import base, blocknames, editmatch, packing, pagediff, records, subwords, urldigest, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,6 +24,10 @@ def op2_framed_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.read_records(spark, path, ("doc_id", "start", "n_tokens", "ids_crc32"))
 
 
+def op3_page_differencing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pagediff.extract(_table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
 #: The rules that the query judges by.
 URL_RULES = [("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block")]
 
@@ -84,6 +88,7 @@ def op8_sequential_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_bin_slack": op1_bin_slack,
     "op2_framed_records": op2_framed_records,
+    "op3_page_differencing": op3_page_differencing,
     "op4_digest_filter": op4_digest_filter,
     "op5_block_naming": op5_block_naming,
     "op6_subword_quality": op6_subword_quality,
