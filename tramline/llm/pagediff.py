@@ -280,8 +280,8 @@ def _diff_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def rows():
         for b in batches:
-            for r in zip(*(b.column(c).to_pylist() for c in ("halo", "host", "path", "page_id", "uid", "body", "flags"))):
-                text = unpack(r[5]).decode("utf-8", "surrogatepass")
+            for r in zip(*(b.column(c).to_pylist() for c in ("halo", "host", "path", "page_id", "uid", "url", "body", "flags"))):
+                text = unpack(r[6]).decode("utf-8", "surrogatepass")
                 yield (*r[:6], text.split("\n") if text else [], r[7])
 
     def around():
