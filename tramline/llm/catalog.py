@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import base, blocknames, dartminhash, editmatch, packing, pagediff, records, subwords, urldigest, warc
+from . import base, blocknames, dartminhash, editmatch, interpolation, packing, pagediff, records, subwords, urldigest, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -85,6 +85,10 @@ def op8_sequential_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_warc(spark, path, [f["file"] for f in files if f["records"]], ("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"))
 
 
+def op9_deleted_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return interpolation.score(_table(spark, sf_dir, "documents"))
+
+
 def op10_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = dartminhash.near_duplicates(_table(spark, sf_dir, "documents"))
     return out.select("doc_id", "class_id", F.col("class_size").cast("long").alias("class_size"), "representative")
@@ -99,6 +103,7 @@ QUERIES = {
     "op6_subword_quality": op6_subword_quality,
     "op7_pigeonhole_edit": op7_pigeonhole_edit,
     "op8_sequential_warc": op8_sequential_warc,
+    "op9_deleted_interpolation": op9_deleted_interpolation,
     "op10_dart_minhash": op10_dart_minhash,
 }
 ORACLE_SQL = {
