@@ -294,7 +294,8 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, words: int
 
     # Equal sets are one node: the first row that has the set.
     nodes = base.materialize(sets.groupBy("key1", "key2").agg(F.min("uid").alias("node")), "nodes")
-    firsts = sets.filter("n > 0").join(nodes.select(F.col("node").alias("uid")), "uid", "left_semi")
+    # Both lists of rows below grow with the documents: never broadcast, whatever their size today.
+    firsts = sets.filter("n > 0").join(nodes.select(F.col("node").alias("uid")).hint("merge"), "uid", "left_semi")
     k = bands * rows
     code = F.substring(F.concat("bytes", "bytes"), F.col("band") * rows + rows + 1, F.lit(DEEP)) if k >= DEEP else F.col("bytes")
     banded = firsts.select("uid", "n", "bytes", F.posexplode("bands").alias("band", "bh")).select("bh", "uid", "n", code.alias("codes"))
@@ -304,7 +305,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, words: int
 
     # Only sets of documents in some pair take part in the exact comparison.
     wanted = pairs.select(F.col("a").alias("uid")).unionByName(pairs.select(F.col("b").alias("uid"))).distinct()
-    in_pairs = base.materialize(sets.select("uid", "n", "shingles").join(wanted, "uid", "left_semi"), "insets")
+    in_pairs = base.materialize(sets.select("uid", "n", "shingles").join(wanted.hint("merge"), "uid", "left_semi"), "insets")
     left = in_pairs.select(F.col("uid").alias("a"), F.col("n").alias("na"), F.col("shingles").alias("sa"))
     right = in_pairs.select(F.col("uid").alias("b"), F.col("n").alias("nb"), F.col("shingles").alias("sb"))
     both = F.size(F.array_intersect("sa", "sb"))
