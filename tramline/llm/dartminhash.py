@@ -41,7 +41,7 @@ NEIGHBOURS = 3
 #: Share of agreeing bytes under which a pair can't reach the similarity, but for one in 10^5.
 HOPELESS = 0.45
 #: Darts that one batch of documents may take.
-BATCH_DARTS = 1_500_000
+BATCH_DARTS = 400_000
 
 _M1, _M2, _GOLD = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 
