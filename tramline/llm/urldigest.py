@@ -8,7 +8,7 @@ the stored string, so a collision of digests never decides.
 
 Step one looks up every suffix of each distinct host (at its dots); step two looks up, for
 hosts that rules name, the path cut to each length that rules of that host have. The longest
-rule that fits wins. A URL that no rule fits is not in the array and is allowed.
+rule that fits wins (of equally long ones, the one with the longer host). A URL that no rule fits is not in the array and is allowed.
 """
 
 from __future__ import annotations
