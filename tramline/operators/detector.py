@@ -117,7 +117,7 @@ class Detector:
         rates = F.array(*(F.lit(r) for r in self.rates))
         q = scored.groupBy(*self.frame).agg(F.percentile("z", rates).alias("_z"), F.percentile("cusum", rates).alias("_c"))
         q = q.select(*self.frame, F.posexplode(rates).alias("_i", "rate"), "_z", "_c")
-        cut = lambda c, fixed, default: F.lit(fixed) if fixed is not None else F.coalesce(F.greatest(-F.get(c, F.col("_i")), F.lit(1.0)), F.lit(default))
+        cut = lambda c, fixed, default: F.lit(fixed) if fixed is not None else F.when(F.get(c, F.col("_i")).isNull(), F.lit(default)).otherwise(F.greatest(-F.get(c, F.col("_i")), F.lit(1.0)))
         return q.select(*self.frame, "rate", cut("_z", self.threshold, DEFAULT_CUTOFF).alias("z_cutoff"), cut("_c", self.cusum_threshold, DEFAULT_CUSUM_CUTOFF).alias("cusum_cutoff"))
 
     def fit(self, operating: DataFrame, value: str = "value") -> tuple[DataFrame, DataFrame]:

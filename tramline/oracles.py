@@ -73,15 +73,9 @@ def _detector(src: str, value: str, out: str, by: str = "series_id", frame: str
 {out}_z AS (SELECT *, total - greatest(0, max(total) OVER (PARTITION BY {by} ORDER BY date)) AS cusum FROM {out}_x)"""
 
 
-def _cutoffs(fit: str, rates: str, out: str, frame: str = "") -> str:
-    keys = f"{frame}, " if frame else ""
-    return f"""{out} AS (SELECT {keys}rate, coalesce(greatest(-quantile_cont(z, rate), 1.0), 4.0) AS z_cutoff, coalesce(greatest(-quantile_cont(cusum, rate), 1.0), 8.0) AS cusum_cutoff
-  FROM (SELECT unnest([{rates}]) AS rate) JOIN {fit}_z ON true GROUP BY ALL)"""
-
-
 def _cut_each(fit: str, rates: list[str], out: str, frame: str = "") -> str:
     keys = f"{frame}, " if frame else ""
-    one = "SELECT {k}CAST({r} AS DOUBLE) AS rate, coalesce(greatest(-quantile_cont(z, {r}), 1.0), 4.0) AS z_cutoff, coalesce(greatest(-quantile_cont(cusum, {r}), 1.0), 8.0) AS cusum_cutoff FROM {f}_z {g}"
+    one = "SELECT {k}CAST({r} AS DOUBLE) AS rate, CASE WHEN count(z) = 0 THEN 4.0 ELSE greatest(-quantile_cont(z, {r}), 1.0) END AS z_cutoff, CASE WHEN count(cusum) = 0 THEN 8.0 ELSE greatest(-quantile_cont(cusum, {r}), 1.0) END AS cusum_cutoff FROM {f}_z {g}"
     return f"{out} AS (" + " UNION ALL ".join(one.format(k=keys, r=x, f=fit, g=f"GROUP BY {frame}" if frame else "") for x in rates) + ")"
 
 
