@@ -32,7 +32,7 @@ def build_panel(raw: DataFrame, network: NetworkShape | None = None, check: bool
 
 def write_panel(panel: DataFrame, registry: DataFrame, folder: str) -> None:
     """Panel as Parquet; registry and events, which are small, as one CSV file each."""
-    panel.write.mode("overwrite").option("compression", "snappy").partitionBy("line_id").parquet(f"{folder}/panel")
+    panel.write.mode("overwrite").option("compression", "snappy").parquet(f"{folder}/panel")
     registry.coalesce(1).write.mode("overwrite").option("header", True).csv(f"{folder}/stations")
     events = network_events(interruptions(panel))
     events.coalesce(1).write.mode("overwrite").option("header", True).csv(f"{folder}/service_events")
