@@ -21,9 +21,13 @@ ODD = [
 ]
 
 
+#: Columns with the names that operators use themselves.
+CLASHING = "_uid string, __uid long, uid string, score string, class_id long, h int"
+
+
 @pytest.fixture(scope="session")
 def odd(spark):
-    return spark.createDataFrame(ODD, DOCS).repartition(3)
+    return spark.createDataFrame([(*r, "u", None, None, "s", 5, 7) for r in ODD], f"{DOCS}, {CLASHING}").repartition(3)
 
 
 @pytest.fixture(scope="session")

@@ -4,8 +4,9 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from tramline.llm import blocknames, dartminhash, graph
+from tramline.llm import base, blocknames, dartminhash, graph
 
 from .conftest import ODD, corpus
 
@@ -47,6 +48,24 @@ def test_block_naming_of_odd_rows(odd, empty):
     assert kept.columns == odd.columns and kept.count() == len(by)
 
 
+def test_row_numbers_are_steady(spark, odd, tmp_path):
+    """A scan of files is numbered as it is; rows that may be dealt anew are written first."""
+    spark.range(1000).repartition(7).write.parquet(f"{tmp_path}/t")
+    scan = spark.read.parquet(f"{tmp_path}/t")
+    assert base.with_uid(scan).inputFiles() and set(base.with_uid(scan.filter("id > 3")).inputFiles()) <= set(scan.inputFiles())
+    for dealt in (scan.repartition(3, F.rand()), scan.withColumn("x", F.rand()), odd):
+        tagged = base.with_uid(dealt)
+        assert tagged.inputFiles() and not set(tagged.inputFiles()) & set(scan.inputFiles())
+        assert sorted(map(str, tagged.collect())) == sorted(map(str, tagged.collect()))
+    assert spark.conf.get(base.SPLITS)
+    assert base.free_name(odd.columns) == "___uid"
+
+
+def test_kept_rows_keep_clashing_columns(odd):
+    for kept in (blocknames.drop_duplicates(odd), dartminhash.keep_one(odd)):
+        assert kept.schema == odd.schema and {(r["_uid"], r["__uid"], r["h"]) for r in kept.collect()} == {("u", None, 7)}
+
+
 def sets_of(t):
     w = (t or "").encode().lower().split()
     return frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset()
@@ -84,10 +103,10 @@ def test_classes_equal_brute_force(spark):
 
 def test_a_large_group_of_near_copies_is_one_class(spark):
     rng = random.Random(2)
-    base = [f"w{rng.randrange(10**6)}" for _ in range(300)]
+    first = [f"w{rng.randrange(10**6)}" for _ in range(300)]
     docs = []
     for i in range(400):
-        words = list(base)
+        words = list(first)
         words[rng.randrange(300)] = f"x{i}"
         docs.append((i, " ".join(words)))
     df = spark.createDataFrame(docs, "doc_id long, text string")

@@ -69,9 +69,43 @@ def ship_package(spark: SparkSession) -> None:
     sc._tramline_shipped = True
 
 
-def with_uid(docs: DataFrame) -> DataFrame:
-    """Add ``_uid``, a long that tells rows apart even where ids repeat or are null."""
-    return docs.withColumn("_uid", F.monotonically_increasing_id())
+#: Plan nodes over which each row keeps its partition and place from job to job.
+STEADY = {"Project", "Filter", "SubqueryAlias", "View", "LogicalRelation"}
+SPLITS = "spark.sql.files.minPartitionNum"
+
+
+def _steady(df: DataFrame) -> bool:
+    todo = [df._jdf.queryExecution().analyzed()]
+    while todo:
+        plan = todo.pop()
+        if plan.nodeName() not in STEADY or not plan.deterministic():
+            return False
+        below = plan.children()
+        todo += [below.apply(i) for i in range(below.size())]
+    return True
+
+
+def free_name(taken: list[str], name: str = "_uid") -> str:
+    """``name``, or the first longer one that no column has."""
+    low = {c.lower() for c in taken}
+    while name in low:
+        name = "_" + name
+    return name
+
+
+def with_uid(docs: DataFrame, name: str = "_uid") -> DataFrame:
+    """Add a long that tells rows apart even where ids repeat or are null.
+
+    A row has the same number in every job that reads the result. Files are split by the number
+    of cores, which changes as executors come and go, so that number is pinned for the session;
+    what isn't a plain scan of files, and may be dealt anew each time, is written first.
+    """
+    spark = docs.sparkSession
+    if not _steady(docs):
+        docs = materialize(docs, "rows")
+    if spark.conf.get(SPLITS, None) is None:
+        spark.conf.set(SPLITS, str(spark.sparkContext.defaultParallelism))
+    return docs.withColumn(name, F.monotonically_increasing_id())
 
 
 def id_fold(col: Column, modulus: int) -> Column:

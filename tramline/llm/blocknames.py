@@ -141,16 +141,15 @@ def _gather(rows: DataFrame) -> DataFrame:
     return rows.groupBy("scope", "rep", "n_blocks").agg(F.array_sort(F.collect_list(F.struct("pos", "name"))).alias("at")).select("scope", "rep", "n_blocks", F.col("at.name").alias("names"))
 
 
-def exact_duplicates(docs: DataFrame, **how) -> DataFrame:
+def exact_duplicates(docs: DataFrame, uid: str | None = None, **how) -> DataFrame:
     """One row per row of ``docs``: uid, doc_id, keep_id, keep_uid, group_size, kept, text_sha256.
 
     Of equal texts the row with the most code points in the original text stays, then the
-    smallest doc_id (nulls last), then the first row. Repeated rows are told apart by ``_uid``,
-    which is added where it is missing.
+    smallest doc_id (nulls last), then the first row. Repeated rows are told apart by the long
+    column ``uid``; by default their place serves. Other columns, whatever their names, are not read.
     """
-    if "_uid" not in docs.columns:
-        docs = base.with_uid(docs)
-    ids = base.materialize(identities(docs, **how), "identities")
+    place = F.col(uid) if uid else F.monotonically_increasing_id()
+    ids = base.materialize(identities(docs.select(place.alias("_uid"), "doc_id", "text"), **how), "identities")
     order = F.struct((-F.col("n_chars")).alias("c"), F.col("doc_id").isNull().alias("z"), "doc_id", "uid")
     local = ids.groupBy("scope", "rep", "n_blocks", "name").agg(F.min(order).alias("best"), F.count("*").alias("n"))
     local = base.materialize(local, "texts")
@@ -163,6 +162,7 @@ def exact_duplicates(docs: DataFrame, **how) -> DataFrame:
 
 def drop_duplicates(docs: DataFrame, **how) -> DataFrame:
     """``docs`` without the rows whose text is a copy of one that stays; all its columns."""
-    tagged = base.with_uid(docs)
-    gone = exact_duplicates(tagged, **how).filter(~F.col("kept")).select(F.col("uid").alias("_uid"))
-    return tagged.join(gone, "_uid", "left_anti").select(docs.columns)
+    uid = base.free_name(docs.columns)
+    tagged = base.with_uid(docs, uid)
+    gone = exact_duplicates(tagged, uid, **how).filter(~F.col("kept")).select(F.col("uid").alias(uid))
+    return tagged.join(gone, uid, "left_anti").drop(uid)

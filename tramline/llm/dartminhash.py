@@ -277,19 +277,19 @@ def _pairs(seen: set[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
 
 
-def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, words: int = WORDS, bands: int = BANDS, rows: int = ROWS, block: int = BLOCK, counted: bool = False) -> DataFrame:
+def near_duplicates(docs: DataFrame, uid: str | None = None, similarity: float = SIMILARITY, words: int = WORDS, bands: int = BANDS, rows: int = ROWS, block: int = BLOCK, counted: bool = False) -> DataFrame:
     """One row per row of ``docs``: uid, doc_id, class_id, class_uid, class_size, representative.
 
     Documents of a class are linked by pairs whose shingle sets have at least ``similarity``
     (Jaccard; with ``counted``, signatures weigh shingles by how often they occur, and only
     candidates follow the weights). class_uid is the row of the class that stays, the first of
     it, and class_id its doc_id. Texts without words, null ones among them, are one class.
-    Repeated rows and null or repeated ids keep a row each; only doc_id and text are read.
+    Repeated rows and null or repeated ids keep a row each; they are told apart by the long column
+    ``uid``, by default their place. Other columns, whatever their names, are not read.
     """
-    if "_uid" not in docs.columns:
-        docs = base.with_uid(docs)
+    place = F.col(uid) if uid else F.monotonically_increasing_id()
     base.ship_package(docs.sparkSession)
-    narrow = docs.select("_uid", F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    narrow = docs.select(place.alias("_uid"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sets = base.materialize(narrow.mapInArrow(_set_task(bands, rows, words, counted), _SETS), "sets")
 
     # Equal sets are one node: the first row that has the set.
@@ -323,6 +323,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, words: int
 
 def keep_one(docs: DataFrame, **how) -> DataFrame:
     """``docs`` with one row of each class of near-duplicates, and all its columns."""
-    tagged = base.with_uid(docs)
-    gone = near_duplicates(tagged, **how).filter(~F.col("representative")).select(F.col("uid").alias("_uid"))
-    return tagged.join(gone, "_uid", "left_anti").select(docs.columns)
+    uid = base.free_name(docs.columns)
+    tagged = base.with_uid(docs, uid)
+    gone = near_duplicates(tagged, uid, **how).filter(~F.col("representative")).select(F.col("uid").alias(uid))
+    return tagged.join(gone, uid, "left_anti").drop(uid)

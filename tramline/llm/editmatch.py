@@ -160,12 +160,11 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, error_rate: float = ERROR_
 
     start and end count characters of the normalised text, for the place of least distance
     (the first such place). Null and empty texts hold nothing; null and blank items are held
-    by nothing; equal items and repeated rows each get rows of their own.
+    by nothing; equal items and repeated rows each get rows of their own. uid is the place of the
+    row; columns other than doc_id and text are not read.
     """
     base.ship_package(docs.sparkSession)
-    if "_uid" not in docs.columns:
-        docs = base.with_uid(docs)
-    narrow = docs.select("_uid", F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    narrow = docs.select(F.monotonically_increasing_id().alias("_uid"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     out = docs.sparkSession.createDataFrame([], MATCH)
     for items in item_blocks(benchmark, block_chars):
 

@@ -322,7 +322,7 @@ def extract(pages: DataFrame, partitions: int | None = None) -> DataFrame:
     spark = pages.sparkSession
     base.ship_package(spark)
     n = partitions or base.partitions_for(spark)
-    rows = base.with_uid(pages).select("_uid", F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
+    rows = base.with_uid(pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html")))
     keys = rows.select("page_id", "_uid", "url").mapInArrow(_key_task, _KEY)
     order = ["host", "path", F.col("page_id").isNotNull().alias("known"), "page_id", "uid"]
     ranges = keys.repartitionByRange(n, "host", "path", F.col("page_id").isNotNull(), "page_id", "uid")

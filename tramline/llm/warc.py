@@ -176,7 +176,7 @@ def write_warc(pages: DataFrame, path: str, min_bytes: int = 0, date: str = "200
     """
     spark = pages.sparkSession
     base.ship_package(spark)
-    rows = base.with_uid(pages).select("_uid", F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
+    rows = base.with_uid(pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html")))
     rows = rows.withColumn("_digest", F.sha1(F.col("html").cast("binary"))).withColumn("_bytes", F.octet_length("html"))
     shared = rows.filter(F.col("_bytes") >= min_bytes).groupBy("_digest", "_bytes").agg(F.max(F.struct("page_id", "_uid")).alias("first"), F.count("*").alias("n")).filter("n > 1")
     # A written table: its size is known when the join is planned, and both joins below read it.
