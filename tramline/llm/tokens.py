@@ -35,6 +35,17 @@ def _byte_alphabet() -> str:
     return "".join(out)
 
 
+class _Chunks(dict):
+    """Chunks and their ids; a chunk that isn't there yet is encoded when it is asked for."""
+
+    def __init__(self, encode):
+        self.encode = encode
+
+    def __missing__(self, chunk: str) -> bytes:
+        got = self[chunk] = self.encode(chunk)
+        return got
+
+
 class Encoder:
     """Texts to little-endian ids of ``width`` bytes, by one vocabulary file.
 
@@ -50,17 +61,26 @@ class Encoder:
         self.model = self.tokenizer.model
         self.find = regex.compile(BYTE_PIECES if kind == "byte" else WORD_PIECES).findall
         self.alphabet = {b: c for b, c in enumerate(_byte_alphabet())}
-        self.cache: dict[str, bytes] = {}
+        self.cache = _Chunks(self._encode_chunk)
         self.pieces: dict[str, bytes] = {}
+        self.packed = [i.to_bytes(width, "little") for i in range(self.tokenizer.get_vocab_size())]
 
     def direct(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
     def _pack(self, ids: list[int]) -> bytes:
-        return b"".join([i.to_bytes(self.width, "little") for i in ids])
+        packed = self.packed
+        return b"".join([packed[i] for i in ids])
 
     def _encode_chunk(self, chunk: str) -> bytes:
-        if chunk and max(chunk) >= PLAIN_BELOW:
+        if chunk.isascii():
+            # Letters alone, after a space if there is one, are one piece.
+            if self.kind == "word" and chunk.isalpha():
+                return self._pack([t.id for t in self.model.tokenize(chunk.lower())])
+            if self.kind == "byte" and chunk[1:].isalpha() and (chunk[0] == " " or chunk[0].isalpha()):
+                shown = self.alphabet[32] + chunk[1:] if chunk[0] == " " else chunk
+                return self._pack([t.id for t in self.model.tokenize(shown)])
+        elif max(chunk) >= PLAIN_BELOW:
             return self._pack(self.direct(chunk))
         out = []
         for piece in self.find(chunk if self.kind == "byte" else chunk.lower()):
@@ -94,16 +114,10 @@ class Encoder:
             chunks = text.replace(" ", "\x00 ").split("\x00") if "\x00" not in text else self._chunks(text)
         else:
             chunks = self._chunks(text)
-        try:
-            return b"".join([cache[c] for c in chunks])
-        except KeyError:
-            if len(cache) > self.cache_chunks:
-                cache.clear()
-                self.pieces.clear()
-            for c in chunks:
-                if c not in cache:
-                    cache[c] = self._encode_chunk(c)
-            return b"".join([cache[c] for c in chunks])
+        if len(cache) > self.cache_chunks:
+            cache.clear()
+            self.pieces.clear()
+        return b"".join(map(cache.__getitem__, chunks))
 
 
 _ENCODERS: dict[tuple, Encoder] = {}
