@@ -225,9 +225,14 @@ def test_artifacts_and_serving(spark, tmp_path):
     assert meta["n_series"] == 3 and store.forecast.count() == 3 * 14 and store.anomalies.count() == 3 * 120
     assert serving.health(store).first().data_through == meta["data_through"]
     assert [(r.series_id, r.longitude) for r in store.stations().collect()] == [("1:a", -99.1), ("1:b", None), ("2:c", None)]
-    assert serving.filter_forecast(store.forecast, line="1", horizon=2).count() == 4
+    assert serving.filter_forecast(store.forecast, line="1", horizon=2).count() == 2 and serving.filter_forecast(store.forecast, line="1").count() == 28
     assert serving.filter_forecast(store.forecast, line="Z").count() == 0
-    assert serving.filter_anomalies(store.anomalies, station="a", date="1900-01-01").count() == 120
+    assert serving.filter_anomalies(store.anomalies, station="a", date="1900-01-01", flagged_only=False).count() == 120
+    flagged = serving.filter_anomalies(store.anomalies).collect()
+    assert len(flagged) == meta["anomalies_flagged"] and flagged == sorted((r for r in flagged if r.is_anomaly), key=lambda r: (-r.date.toordinal(), r.score))
+    seen = serving.filter_anomalies(store.anomalies, flagged_only=False).collect()
+    assert [(r.date, r.series_id) for r in seen] == sorted((r.date, r.series_id) for r in seen)
+    assert meta["has_coordinates"] and meta["n_panel_rows"] == panel.count() and serving.metadata(store).count() == 1
     for call in (lambda: serving.filter_forecast(store.forecast, station="q"), lambda: serving.filter_anomalies(store.anomalies, date="1900-01-01"), lambda: serving.filter_stations(store.stations(), "Z")):
         with pytest.raises(NotFound):
             call()

@@ -56,6 +56,10 @@ class GradientBoosting:
         out = self.model.transform(frame)
         return out.select("series_id", "line_id", "station_id", "date", F.col("horizon").cast("int").alias("horizon"), F.greatest("prediction", F.lit(0.0)).alias("prediction"))
 
+    def save(self, path: str) -> None:
+        """Write the fitted pipeline; ``PipelineModel.load`` reads it."""
+        self.model.write().overwrite().save(path)
+
     def feature_importance(self, spark) -> DataFrame:
         values = self.model.stages[-1].featureImportances.toArray().tolist()
         return spark.createDataFrame(list(zip(self.columns, values)), "feature string, importance double").orderBy(F.desc("importance"))

@@ -63,7 +63,7 @@ def duplicate_report(marked: DataFrame) -> DataFrame:
     return marked.filter("is_duplicate").agg(
         F.count("*").alias("n_rows"),
         F.count_distinct("date").alias("n_dates"),
-        F.concat_ws("|", F.array_sort(F.collect_set(F.concat_ws(":", "line_id", "station_id")))).alias("stations"),
+        F.concat_ws("|", F.array_sort(F.collect_set("station_id"))).alias("stations"),
         F.min("date").alias("first_date"),
         F.max("date").alias("last_date"),
     )

@@ -202,7 +202,7 @@ ORACLE_SQL: dict[str, str] = {
     "interruptions": _w(_SPS + ",\n" + _islands("sps", "status", "i"), "SELECT line_id, station_id, status, min(date) AS start, max(date) AS \"end\", count(*) AS days FROM i WHERE status IN ('closed', 'not_yet_open', 'not_measured') GROUP BY line_id, station_id, status, island"),
     "network_events": _w(_SPS + ",\n" + _islands("sps", "status", "i") + ",\nint AS (SELECT line_id, station_id, status, min(date) AS start, max(date) AS fin, count(*) AS days FROM i WHERE status IN ('closed', 'not_yet_open', 'not_measured') GROUP BY line_id, station_id, status, island)", "SELECT line_id, status, start, fin AS \"end\", days, count(DISTINCT station_id) AS n_stations, string_agg(DISTINCT station_id, '|' ORDER BY station_id) AS stations FROM int WHERE days >= 7 GROUP BY ALL"),
     "duplicate_keys": _w(_EP, "SELECT date, line_id, station_id, count(*) AS copies FROM ep WHERE copies > 1 GROUP BY ALL"),
-    "duplicate_report": _w(_EP, "SELECT count(*) AS n_rows, count(DISTINCT date) AS n_dates, length(string_agg(DISTINCT line_id || ':' || station_id, '|')) AS stations_chars, min(date) AS first_date, max(date) AS last_date FROM ep WHERE copies > 1"),
+    "duplicate_report": _w(_EP, "SELECT count(*) AS n_rows, count(DISTINCT date) AS n_dates, length(string_agg(DISTINCT station_id, '|')) AS stations_chars, min(date) AS first_date, max(date) AS last_date FROM ep WHERE copies > 1"),
     "registry": """WITH r AS (SELECT CAST(o_orderdate AS DATE) AS date, o_orderpriority AS line_id, o_orderstatus AS station_id, c_mktsegment AS name, c_name FROM orders JOIN customer ON o_custkey = c_custkey),
 n AS (SELECT line_id, station_id, name, row_number() OVER (PARTITION BY line_id, station_id ORDER BY count(*) DESC, name) AS k FROM r GROUP BY line_id, station_id, name)
 SELECT r.line_id, r.station_id, any_value(n.name) AS station_name, min(date) AS first_date, max(date) AS last_date, count(DISTINCT date) AS n_days, count(DISTINCT c_name) AS n_raw_labels FROM r JOIN n ON n.line_id = r.line_id AND n.station_id = r.station_id AND k = 1 GROUP BY 1, 2""",
@@ -276,7 +276,7 @@ SELECT key, n_name, n_suppliers, CASE WHEN n_name IS NULL THEN 'right_only' WHEN
     "stations_with_coords": "SELECT CAST(n_nationkey AS BIGINT) AS station, n_name, min(c_acctbal) AS longitude, max(c_acctbal) AS latitude FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey AND n_nationkey % 5 <> 0 GROUP BY 1, 2",
     "html_extract": """SELECT page_id, generate_subscripts(l, 1) - 1 AS pos, unnest(l) AS link FROM (SELECT page_id, regexp_extract_all(html, '<a href="([^"]*)">', 1) AS l FROM pages)""",
     "json_resources": "SELECT event_id, props ->> '$.k' AS k FROM events",
-    "api_forecast_filter": _w(_DP + ",\nl AS (SELECT max(date) AS last FROM dp)", "SELECT f.series_id, CAST(last + CAST(h AS INTEGER) AS DATE) AS date, h AS horizon, f.value AS prediction FROM l CROSS JOIN (SELECT unnest(range(1, 8)) AS h) JOIN dp f ON f.date = last + CAST(h - 7 AS INTEGER) WHERE f.line_id = 'O'"),
+    "api_forecast_filter": _w(_DP + ",\nl AS (SELECT max(date) AS last FROM dp)", "SELECT f.series_id, CAST(last + CAST(h AS INTEGER) AS DATE) AS date, h AS horizon, f.value AS prediction FROM l CROSS JOIN (SELECT 7 AS h) JOIN dp f ON f.date = last + CAST(h - 7 AS INTEGER) WHERE f.line_id = 'O'"),
     "api_anomalies_latest": _w(_flagged(["0.01"]), "SELECT series_id, date, round(z, 4) AS score, CASE WHEN extreme THEN 'extreme day' ELSE 'sustained shortfall' END AS reason FROM flags WHERE extreme OR drifted"),
     "api_stations": "SELECT DISTINCT o_orderpriority AS line_id, o_orderstatus AS station_id, o_orderpriority || ':' || o_orderstatus AS series_id FROM orders WHERE o_orderpriority = '1-URGENT'",
     "long_forecast": _w(_DP + ",\n" + _seasonal("dp", "series_id", "value", "s") + ",\nfut AS (SELECT series_id, CAST(last_date + CAST(h AS INTEGER) AS DATE) AS date, h AS horizon FROM s_c CROSS JOIN (SELECT unnest(range(1, 15)) AS h)),\n" + _expected("fut", "series_id", "s", "x"), "SELECT date, horizon, series_id, split_part(series_id, ':', 1) AS line_id, split_part(series_id, ':', 2) AS station_id, CAST(round_even(expected, 0) AS BIGINT) AS prediction FROM x"),

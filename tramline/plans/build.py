@@ -60,21 +60,42 @@ def station_names(panel: DataFrame) -> DataFrame:
     return panel.groupBy("line_id", "station_id").agg(F.min_by("station_name", "date").alias("station_name"))
 
 
-def train(panel: DataFrame, forecaster, folder: str, horizon: int = 14, coordinates: DataFrame | None = None, trained_at: str = "") -> dict:
-    """Fit the forecaster and the detector and write the serving tables; returns the metadata."""
+def train(panel: DataFrame, forecaster, folder: str, horizon: int = 14, coordinates: DataFrame | None = None, trained_at: str = "", operator: str = "metro") -> dict:
+    """Fit the forecaster and the detector and write the serving tables and, where there is one to
+    keep, the model; returns the metadata."""
     rows = with_series(panel)
     if hasattr(forecaster, "feature_importance"):
         predictions = forecaster.fit(rows, "target").predict(rows, horizon, "target")
+        forecaster.save(f"{folder}/model")
     else:
         predictions = forecaster.predict(forecaster.fit(rows, value="target"), horizon)
     long_forecast(predictions, station_names(panel)).write.mode("overwrite").parquet(f"{folder}/forecast")
     feed, cuts = recent_anomalies(panel)
     feed.write.mode("overwrite").parquet(f"{folder}/anomalies")
-    if coordinates is not None and not coordinates.isEmpty():
+    located = coordinates is not None and not coordinates.isEmpty()
+    if located:
         with_series(coordinates).select("series_id", "longitude", "latitude").write.mode("overwrite").parquet(f"{folder}/coordinates")
     spark = panel.sparkSession
     span = rows.agg(F.min("date").alias("a"), F.max("date").alias("b"), F.count_distinct("series_id").alias("s"), F.count("*").alias("n")).first()
     cut = cuts.first()
-    meta = {"trained_at": trained_at, "data_from": str(span["a"]), "data_through": str(span["b"]), "n_series": span["s"], "n_rows": span["n"], "horizons": list(range(1, horizon + 1)), "anomaly_window_days": SERVING_DAYS, "false_alarm_rate": SERVING_RATE, "z_cutoff": round(cut["z_cutoff"], 3), "cusum_cutoff": round(cut["cusum_cutoff"], 3), "n_flagged": spark.read.parquet(f"{folder}/anomalies").filter("is_anomaly").count()}
+    ahead = spark.read.parquet(f"{folder}/forecast").agg(F.min("date").alias("a"), F.max("date").alias("b")).first()
+    # The names of these fields are fixed: readers of the metadata go by them.
+    meta = {
+        "operator": operator,
+        "trained_at": trained_at,
+        "data_from": str(span["a"]),
+        "data_through": str(span["b"]),
+        "n_panel_rows": span["n"],
+        "n_series": span["s"],
+        "horizons": list(range(1, horizon + 1)),
+        "forecast_from": str(ahead["a"]),
+        "forecast_to": str(ahead["b"]),
+        "anomaly_window_days": SERVING_DAYS,
+        "false_alarm_rate": SERVING_RATE,
+        "anomaly_threshold": round(cut["z_cutoff"], 3),
+        "cusum_threshold": round(cut["cusum_cutoff"], 3),
+        "anomalies_flagged": spark.read.parquet(f"{folder}/anomalies").filter("is_anomaly").count(),
+        "has_coordinates": located,
+    }
     spark.createDataFrame([(json.dumps(meta),)], "value string").coalesce(1).write.mode("overwrite").text(f"{folder}/metadata")
     return meta

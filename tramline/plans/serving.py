@@ -49,6 +49,11 @@ def health(store: Store) -> DataFrame:
     return store.metadata.select(F.lit("ok").alias("status"), "data_through", "trained_at")
 
 
+def metadata(store: Store) -> DataFrame:
+    """What was trained, on what, and up to which day: one row."""
+    return store.metadata
+
+
 def filter_stations(rows: DataFrame, line: str | None = None) -> DataFrame:
     if line is None:
         return rows
@@ -58,9 +63,9 @@ def filter_stations(rows: DataFrame, line: str | None = None) -> DataFrame:
     return out
 
 
-def filter_forecast(rows: DataFrame, station: str | None = None, line: str | None = None, horizon: int = MAX_HORIZON) -> DataFrame:
-    """An unknown station raises; an unknown line gives no rows."""
-    if not 1 <= horizon <= MAX_HORIZON:
+def filter_forecast(rows: DataFrame, station: str | None = None, line: str | None = None, horizon: int | None = None) -> DataFrame:
+    """All days ahead, or the one that ``horizon`` names. An unknown station raises; an unknown line gives no rows."""
+    if horizon is not None and not 1 <= horizon <= MAX_HORIZON:
         raise ValueError(f"horizon must be 1 to {MAX_HORIZON}")
     if station is not None:
         rows = rows.filter(F.col("series_id") == station) if ":" in station else rows.filter(F.col("station_id") == station)
@@ -68,12 +73,14 @@ def filter_forecast(rows: DataFrame, station: str | None = None, line: str | Non
             raise NotFound(f"no station {station!r}")
     if line is not None:
         rows = rows.filter(F.col("line_id") == line.upper())
-    return rows.filter(F.col("horizon") <= horizon).orderBy("date", "series_id")
+    if horizon is not None:
+        rows = rows.filter(F.col("horizon") == horizon)
+    return rows.orderBy("date", "series_id")
 
 
-def filter_anomalies(rows: DataFrame, station: str | None = None, date: str | None = None, line: str | None = None, flagged_only: bool = False) -> DataFrame:
-    """A station decides alone: the date counts only without one. Newest and worst come first
-    for a station or a date, else by date and series."""
+def filter_anomalies(rows: DataFrame, station: str | None = None, date: str | None = None, line: str | None = None, flagged_only: bool = True) -> DataFrame:
+    """The whole scored window, or a station's or a date's part of it; a station decides alone, the
+    date counts only without one. Flagged rows come newest and worst first, all rows by date and series."""
     narrowed = station is not None or date is not None
     if station is not None:
         rows = rows.filter(F.col("station_id") == station)
@@ -84,8 +91,8 @@ def filter_anomalies(rows: DataFrame, station: str | None = None, date: str | No
     if line is not None:
         rows = rows.filter(F.col("line_id") == line.upper())
     if flagged_only:
-        rows = rows.filter("is_anomaly")
-    return rows.orderBy(F.desc("date"), "score") if narrowed else rows.orderBy("date", "series_id")
+        return rows.filter("is_anomaly").orderBy(F.desc("date"), "score")
+    return rows.orderBy("date", "series_id")
 
 
 def records(rows: DataFrame) -> DataFrame:
