@@ -3,6 +3,7 @@ from datetime import date, timedelta
 
 import numpy as np
 import pytest
+from pyspark.ml import PipelineModel
 from pyspark.sql import functions as F
 
 from tramline.errors import ArtifactsUnavailable, LeakageError, NotFound
@@ -75,7 +76,7 @@ def test_supervised_and_prediction_frames_agree(spark):
     assert set(features.feature_columns(learn)) == set(learn.columns) - {"target", "date", "origin", "series_id"}
 
 
-def test_boosting_contract(spark):
+def test_boosting_contract(spark, tmp_path):
     df = frame(spark, rows(440, seed=99))
     model = GradientBoosting(horizons=3, trees=3, depth=3, train_years=1)
     with pytest.raises(ValueError):
@@ -87,6 +88,9 @@ def test_boosting_contract(spark):
     with pytest.raises(ValueError):
         GradientBoosting().fit(frame(spark, rows(100)))
     assert model.feature_importance(spark).first().importance > 0
+    model.save(f"{tmp_path}/model")
+    kept, model.model = model.model, PipelineModel.load(f"{tmp_path}/model")
+    assert model.model is not kept and sorted(model.predict(df, 3).collect()) == sorted(got)
 
 
 @pytest.mark.parametrize(("x", "want"), [([1, 2, 3, 4, 5], 1.0), ([1, 2, 3, 4, 10000], 1.0), ([None, None], None)])
