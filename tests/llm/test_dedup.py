@@ -114,6 +114,38 @@ def test_a_large_group_of_near_copies_is_one_class(spark):
     assert {r.class_size for r in rows} == {400}
 
 
+def just_under(groups, size, seed):
+    """Groups whose texts share 200 shingles of 226 (0.794); of each, the first two share two more (0.808)."""
+    rng = random.Random(seed)
+    texts = []
+    for g in range(groups):
+        core = [f"g{g}c{rng.randrange(10**6)}" for _ in range(204)]
+        for i in range(size):
+            own = [f"g{g}i{i}t{rng.randrange(10**6)}" for _ in range(26)]
+            if i < 2:
+                own[:2] = [f"g{g}p", f"g{g}q"]
+            texts.append(" ".join(core + own))
+    return texts
+
+
+@pytest.mark.parametrize("partitions", [1, 64])
+def test_links_among_pairs_just_under_the_similarity(spark, partitions):
+    """Every link is found however many pairs of its bucket look more alike, or lie across a border."""
+    groups, size = 12, 90
+    texts = just_under(groups, size, 5)
+    sets = [sets_of(t) for t in texts[:3]]
+    assert [len(a & b) / len(a | b) >= 0.8 for a, b in ((sets[0], sets[1]), (sets[0], sets[2]))] == [True, False]
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    try:
+        rows = dartminhash.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    of = {r.doc_id: r.class_id for r in rows}
+    assert {i for i in of if of[i] != i} == {g * size + 1 for g in range(groups)}
+    assert all(of[g * size + 1] == g * size for g in range(groups))
+
+
 def test_near_duplicates_of_odd_rows(odd, empty):
     rows = dartminhash.near_duplicates(odd).collect()
     assert len(rows) == len(ODD)

@@ -12,8 +12,13 @@ Documents with equal shingle sets are one class from the start. The others meet
 coordinates. In a band, rows are sorted by its hash and then by the coordinates that follow it;
 a run of equal hashes that is longer than a block is cut further by those coordinates, so that
 no group, however large, is gathered in one place, and alike documents stay side by side. A
-block yields a tree of its most alike pairs, never all pairs. Pairs are verified by the exact
-similarity of their shingle sets, and links make classes by connected components.
+block yields a tree of its most alike pairs. Pairs are verified by the exact similarity of
+their shingle sets, and links make classes by connected components.
+
+Those pairs are only a cheap start. A second pass takes every bucket, whole, that still holds
+rows of different classes, and verifies all pairs of such rows whose sizes allow a link. Pairs
+inside a class are never made, so a large group of near copies costs nothing there; a large
+group whose pairs are just under the similarity costs all its pairs.
 """
 
 from __future__ import annotations
@@ -201,7 +206,8 @@ def tree(codes: np.ndarray, sizes: np.ndarray, similarity: float) -> list[tuple[
 
 
 def _pair_task(block: int, similarity: float, deep: int):
-    """Sorted rows of bands to pairs of documents."""
+    """Sorted rows of bands to pairs of documents (a, b), and the rows (a, bh) of buckets that may
+    hold more than one: runs of two rows or more, and what touches the ends of the partition."""
 
     def pairs_of(uids: np.ndarray, sizes: np.ndarray, codes: np.ndarray) -> Iterator[tuple[int, int]]:
         todo = [(0, len(uids), 0)]
@@ -250,11 +256,18 @@ def _pair_task(block: int, similarity: float, deep: int):
                 yield held
 
         seen: set[tuple[int, int]] = set()
+        edge, final = True, None
         for held in runs():
             t = pa.Table.from_batches(held)
             hashes, uids, sizes = (t.column(c).to_numpy() for c in ("bh", "uid", "n"))
             cuts = np.flatnonzero(np.r_[True, hashes[1:] != hashes[:-1], True])
-            long = np.flatnonzero(np.diff(cuts) > 1)
+            lens = np.diff(cuts)
+            long = np.flatnonzero(lens > 1)
+            shared = np.repeat(lens > 1, lens)
+            shared[0] |= edge
+            edge, final = False, None if shared[-1] else (uids[-1:], hashes[-1:])
+            if shared.any():
+                yield _found(uids[shared], bh=hashes[shared])
             if not len(long):
                 continue
             raw = t.column("codes").combine_chunks()
@@ -266,15 +279,48 @@ def _pair_task(block: int, similarity: float, deep: int):
             if len(seen) > 200_000:
                 yield _pairs(seen)
                 seen.clear()
+        if final:
+            yield _found(final[0], bh=final[1])
         if seen:
             yield _pairs(seen)
 
     return run
 
 
+def _found(a: np.ndarray, b: np.ndarray | None = None, bh: np.ndarray | None = None) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.nulls(len(a), pa.int64()) if c is None else pa.array(c) for c in (a, b, bh)], names=["a", "b", "bh"])
+
+
 def _pairs(seen: set[tuple[int, int]]) -> pa.RecordBatch:
     both = np.array(sorted(seen), dtype=np.int64)
-    return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
+    return _found(both[:, 0], both[:, 1])
+
+
+def _links(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Those of ``pairs`` whose sets have the similarity, exactly."""
+    # Only sets of documents in some pair take part in the exact comparison.
+    wanted = pairs.select(F.col("a").alias("uid")).unionByName(pairs.select(F.col("b").alias("uid"))).distinct()
+    in_pairs = base.materialize(sets.select("uid", "n", "shingles").join(wanted.hint("merge"), "uid", "left_semi"), "insets")
+    left = in_pairs.select(F.col("uid").alias("a"), F.col("n").alias("na"), F.col("shingles").alias("sa"))
+    right = in_pairs.select(F.col("uid").alias("b"), F.col("n").alias("nb"), F.col("shingles").alias("sb"))
+    both = F.size(F.array_intersect("sa", "sb"))
+    links = pairs.join(left, "a").join(right, "b").withColumn("both", both).filter(F.col("both") >= F.lit(similarity) * (F.col("na") + F.col("nb") - F.col("both"))).select("a", "b")
+    return base.materialize(links, "near")
+
+
+def _rest(rows: DataFrame, similarity: float) -> DataFrame:
+    """All pairs of rows (bh, uid, n, class) of one bucket and different classes whose sizes allow a link.
+
+    The rows of the largest class of a bucket meet only the rows of the others.
+    """
+    each = rows.groupBy("bh", "class").agg(F.count("*").alias("m"))
+    mixed = each.groupBy("bh").agg(F.max(F.struct("m", "class"))["class"].alias("most"), F.count("*").alias("k")).filter("k > 1").drop("k")
+    mixed = base.materialize(rows.join(mixed.hint("merge"), "bh"), "mixed")
+    others = mixed.filter("class <> most").select("bh", F.col("uid").alias("v"), F.col("n").alias("nv"), F.col("class").alias("cv"))
+    apart = (F.col("class") != F.col("cv")) & ((F.col("class") == F.col("most")) | (F.col("uid") < F.col("v")))
+    sized = F.least("n", "nv") >= F.lit(similarity) * F.greatest("n", "nv")
+    met = mixed.join(others.hint("merge"), "bh").filter(apart & sized)
+    return base.materialize(met.select(F.least("uid", "v").alias("a"), F.greatest("uid", "v").alias("b")).distinct(), "rest")
 
 
 def near_duplicates(docs: DataFrame, uid: str | None = None, similarity: float = SIMILARITY, words: int = WORDS, bands: int = BANDS, rows: int = ROWS, block: int = BLOCK, counted: bool = False) -> DataFrame:
@@ -300,17 +346,17 @@ def near_duplicates(docs: DataFrame, uid: str | None = None, similarity: float =
     code = F.substring(F.concat("bytes", "bytes"), F.col("band") * rows + rows + 1, F.lit(DEEP)) if k >= DEEP else F.col("bytes")
     banded = firsts.select("uid", "n", "bytes", F.posexplode("bands").alias("band", "bh")).select("bh", "uid", "n", code.alias("codes"))
     dealt = banded.repartitionByRange("bh", "codes", "uid").sortWithinPartitions("bh", "codes", "uid")
-    found = dealt.mapInArrow(_pair_task(block, similarity, min(DEEP, k)), "a long, b long")
-    pairs = base.materialize(found.distinct(), "pairs")
-
-    # Only sets of documents in some pair take part in the exact comparison.
-    wanted = pairs.select(F.col("a").alias("uid")).unionByName(pairs.select(F.col("b").alias("uid"))).distinct()
-    in_pairs = base.materialize(sets.select("uid", "n", "shingles").join(wanted.hint("merge"), "uid", "left_semi"), "insets")
-    left = in_pairs.select(F.col("uid").alias("a"), F.col("n").alias("na"), F.col("shingles").alias("sa"))
-    right = in_pairs.select(F.col("uid").alias("b"), F.col("n").alias("nb"), F.col("shingles").alias("sb"))
-    both = F.size(F.array_intersect("sa", "sb"))
-    links = pairs.join(left, "a").join(right, "b").withColumn("both", both).filter(F.col("both") >= F.lit(similarity) * (F.col("na") + F.col("nb") - F.col("both"))).select("a", "b")
-    roots = graph.components(base.materialize(links, "near"))
+    found = base.materialize(dealt.mapInArrow(_pair_task(block, similarity, min(DEEP, k)), "a long, b long, bh long"), "found")
+    pairs = base.materialize(found.filter("bh is null").select("a", "b").distinct(), "pairs")
+    links = _links(pairs, sets, similarity)
+    roots = graph.components(links)
+
+    # What the first pairs left apart and yet shares a bucket.
+    classes = firsts.select("uid", "n").join(roots.select(F.col("node").alias("uid"), "root").hint("merge"), "uid", "left").select("uid", "n", F.coalesce("root", "uid").alias("class"))
+    met = found.filter("bh is not null").select("bh", F.col("a").alias("uid")).join(classes.hint("merge"), "uid")
+    more = _links(_rest(met, similarity), sets, similarity)
+    if not more.isEmpty():
+        roots = graph.components(links.unionByName(more))
 
     named = nodes.join(roots, "node", "left").select("key1", "key2", F.coalesce("root", "node").alias("class_uid"))
     named = base.materialize(named, "classes")
