@@ -67,6 +67,17 @@ def test_template_lines_go_by_differencing(spark):
         assert "Home | News" in got[99]  # it has no neighbour on its host
 
 
+def test_shared_lines_in_the_flow_of_articles_go_by_differencing(spark):
+    def page(i):
+        own = "".join(f"<p>own line {i} {j}</p>" for j in range(6))
+        return f"<article><h1>Title {i}</h1><p>Subscribe to our letter</p>{own}<p>Share this story</p></article>"
+
+    df = spark.createDataFrame([(i, f"http://h.example/news/{i:04d}", page(i), None, None) for i in range(20)], PAGES)
+    for n in (1, 5):
+        got = {r.page_id: r.text for r in pagediff.extract(df, partitions=n).collect()}
+        assert all(got[i] == "\n".join([f"Title {i}", *(f"own line {i} {j}" for j in range(6))]) for i in range(20))
+
+
 def test_copies_of_an_article_stay_whole(spark):
     html = "<article><h1>A</h1><p>same words</p></article>"
     df = spark.createDataFrame([(i, f"http://h.example/{i}", html, None, None) for i in range(5)], PAGES)

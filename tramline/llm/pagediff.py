@@ -1,13 +1,11 @@
 """Main text of HTML pages by differencing each page against its nearest neighbour.
 
 A page becomes lines, one per block of visible text, each with what the markup says of it:
-inside an article or main element or not, and directly in its flow or inside a further named
-wrapper. Menus, headers, footers, sidebars, notices, adverts, forms, comments, scripts and
+inside an article or main element or not. Menus, headers, footers, sidebars, notices, adverts, forms, comments, scripts and
 styles go by their elements, roles and class names. Then pages of one host are put in the
 order of their URL paths, and each is aligned by longest common subsequence with the nearer of
 its two neighbours, the one that shares the longer start of the path. Lines that both share
-are the site's, not the page's, and are deleted; what the markup itself marks as the flow of an
-article stays. A neighbour that shares most of the text is a copy of the page and tells
+are the site's, not the page's, and are deleted, inside an article as well. A neighbour that shares most of the text is a copy of the page and tells
 nothing; then the other one is asked.
 
 Distribution. Pages are dealt by ranges of (host, path), so a host with a third of all pages
@@ -38,8 +36,6 @@ RAW = frozenset("script style textarea title noscript template iframe xmp".split
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCKS = frozenset("address article aside blockquote body br caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody tfoot thead tr ul".split())
 HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6", "hgroup"))
-#: Blocks that an author's text is made of, and groups of them; a wrapper is anything else with a name.
-FLOW = frozenset("p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd blockquote pre table thead tbody tfoot tr td th caption figure figcaption br".split())
 #: End tags that a new block implies.
 IMPLIED = {"p": BLOCKS, "li": frozenset(("li",)), "dt": frozenset(("dt", "dd")), "dd": frozenset(("dt", "dd")), "tr": frozenset(("tr",)), "td": frozenset(("td", "th", "tr")), "th": frozenset(("td", "th", "tr")), "option": frozenset(("option",))}
 #: Words in class and id names, and roles, that mark what isn't main text.
@@ -52,7 +48,7 @@ _ATTR = re.compile(r"""([^\s"'=<>/]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'<>=`]+))?"
 _NAME = re.compile(r"/?[a-zA-Z][^\s/>]*")
 _RAW_END = {name: re.compile(rf"</{name}(?=[\s/>])", re.I) for name in RAW}
 
-IN_ROOT, WRAPPED = 1, 2
+IN_ROOT = 1
 
 
 def _tag_end(text: str, at: int) -> int:
@@ -92,22 +88,22 @@ def page_lines(text: str) -> list[tuple[str, int]]:
     """The lines of a page that may be main text, each with its flags, in page order."""
     lines: list[tuple[str, int]] = []
     parts: list[str] = []
-    stack: list[tuple[str, int, int, int]] = []  # name, dropped, in_root, wrapped: counts with this element
-    dropped = root = wrapped = 0
+    stack: list[tuple[str, int, int]] = []  # name, dropped, in_root: counts with this element
+    dropped = root = 0
 
     def end_block() -> None:
         nonlocal parts
         if parts:
             line = " ".join(htmllib.unescape("".join(parts)).split())
             if line:
-                lines.append((line, IN_ROOT * bool(root) | WRAPPED * bool(wrapped)))
+                lines.append((line, IN_ROOT * bool(root)))
             parts = []
 
     def close(depth: int) -> None:
-        nonlocal dropped, root, wrapped
+        nonlocal dropped, root
         while len(stack) > depth:
-            _, d, r, w = stack.pop()
-            dropped, root, wrapped = dropped - d, root - r, wrapped - w
+            _, d, r = stack.pop()
+            dropped, root = dropped - d, root - r
 
     at, n = 0, len(text)
     while at < n:
@@ -158,16 +154,15 @@ def page_lines(text: str) -> list[tuple[str, int]]:
         is_root = name in ("article", "main")
         header = name == "header" and not root
         gone = name in DROPPED or header or _marked(name, attrs, bool(root) or is_root)
-        wrapper = bool(root) and name not in FLOW and name not in ("article", "main", "header", "hgroup") and name in BLOCKS and bool(attrs.strip())
         if name in RAW:
             found = _RAW_END[name].search(text, at)
             at = n if not found else (text.find(">", found.end()) + 1 or n)
             continue
-        if gone or is_root or wrapper or name in BLOCKS or name in ("td", "th") or stack and stack[-1][1] and name not in VOID and name in ("div", "span"):
+        if gone or is_root or name in BLOCKS or name in ("td", "th") or stack and stack[-1][1] and name not in VOID and name in ("div", "span"):
             if gone:
                 end_block()
-            stack.append((name, int(gone), int(is_root and not gone), int(wrapper)))
-            dropped, root, wrapped = dropped + gone, root + (is_root and not gone), wrapped + wrapper
+            stack.append((name, int(gone), int(is_root and not gone)))
+            dropped, root = dropped + gone, root + (is_root and not gone)
     end_block()
     return lines
 
@@ -217,14 +212,13 @@ COPY_SHARE = 0.6
 def main_text(lines: list[tuple[str, int]], neighbours: list[list[str]]) -> str:
     """The lines that stay, given the lines of the neighbours, nearest first."""
     rooted = any(f & IN_ROOT for _, f in lines)
-    kept = [(t, f) for t, f in lines if not rooted or f & IN_ROOT]
-    texts = [t for t, _ in kept]
+    texts = [t for t, f in lines if not rooted or f & IN_ROOT]
     total = sum(map(len, texts))
     for other in neighbours:
         shared = lcs_shared(texts, other)
         if sum(len(t) for t, s in zip(texts, shared) if s) > COPY_SHARE * total:
             continue
-        return "\n".join(t for (t, f), s in zip(kept, shared) if not s or rooted and not f & WRAPPED)
+        return "\n".join(t for t, s in zip(texts, shared) if not s)
     return "\n".join(texts)
 
 
