@@ -53,3 +53,14 @@ def test_entry_works_without_the_optional_parts(tmp_path):
     code = "import __spark_entry__ as e; q = e.queries(); assert 'status_daily' in q and not any(n[:2] == 'op' and n[2].isdigit() or n == 'pipeline' for n in q); assert e.oracle_sql()"
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, check=True)
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="sample tables aren't here")
+def test_joins_with_references_read_whole_tables(spark):
+    from tramline import queries
+
+    rows = queries.QUERIES["reconcile_full_outer"](spark, SF).collect()
+    assert sum(r.n_suppliers or 0 for r in rows) == spark.read.parquet(f"{SF}/supplier.parquet").count()
+    homes = {r[0] for r in spark.read.parquet(f"{SF}/customer.parquet").select("c_nationkey").distinct().collect()}
+    stations = queries.QUERIES["stations_with_coords"](spark, SF).collect()
+    assert {r.station for r in stations if r.longitude is not None} == homes & {r.station for r in stations}
