@@ -243,3 +243,23 @@ def test_artifacts_and_serving(spark, tmp_path):
     with pytest.raises(ValueError):
         serving.filter_forecast(store.forecast, horizon=15)
     assert '"longitude":null' in serving.records(store.stations()).collect()[1].record
+
+
+def test_boosted_query_is_the_whole_forecast(monkeypatch):
+    from tramline import queries
+
+    made = []
+
+    class Recorded(queries.GradientBoosting):
+        def fit(self, panel, value="value"):
+            made.append(self)
+            return self
+
+        def predict(self, panel, horizon, value="value"):
+            raise LookupError(horizon)
+
+    monkeypatch.setattr(queries, "GradientBoosting", Recorded)
+    monkeypatch.setattr(queries, "shipments_panel", lambda spark, d: None)
+    with pytest.raises(LookupError, match="^14$"):
+        queries.QUERIES["gbt_forecast"](None, "")
+    assert (made[0].horizons, made[0].train_years) == (14, 3)

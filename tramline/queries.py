@@ -494,5 +494,5 @@ def long_forecast(spark, d):
 @query
 def gbt_forecast(spark, d):
     panel = shipments_panel(spark, d)
-    model = GradientBoosting(horizons=7, train_years=1, trees=5, depth=4).fit(panel)
-    return model.predict(panel, 7).select("series_id", "date", F.col("horizon").cast("long").alias("horizon"), r("prediction"))
+    model = GradientBoosting().fit(panel)
+    return model.predict(panel, model.horizons).select("series_id", "date", F.col("horizon").cast("long").alias("horizon"), r("prediction"))
