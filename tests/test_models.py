@@ -263,3 +263,13 @@ def test_boosted_query_is_the_whole_forecast(monkeypatch):
     with pytest.raises(LookupError, match="^14$"):
         queries.QUERIES["gbt_forecast"](None, "")
     assert (made[0].horizons, made[0].train_years) == (14, 3)
+
+
+def test_onsets_query_keeps_short_runs(spark, monkeypatch):
+    from tramline import queries
+
+    days = [(date(2024, 1, i + 1), int(i in (2, 5, 6, 7, 8, 9))) for i in range(12)]
+    flags = spark.createDataFrame([(0.01, "s", d, True) for d, _ in days], "rate double, series_id string, date date, is_anomaly boolean")
+    truth = spark.createDataFrame([("s", d, y) for d, y in days], "series_id string, date date, label int")
+    monkeypatch.setattr(queries, "_walked", lambda spark, d: (flags, truth))
+    assert sorted(r.days for r in queries.QUERIES["event_onsets"](spark, "").collect()) == [1, 5]

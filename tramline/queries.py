@@ -405,7 +405,7 @@ def score_days(spark, d):
 
 @query
 def event_onsets(spark, d):
-    return evaluation.event_onsets(*_walked(spark, d)).filter("days >= 4")
+    return evaluation.event_onsets(*_walked(spark, d))
 
 
 @query
