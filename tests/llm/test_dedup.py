@@ -146,6 +146,21 @@ def test_links_among_pairs_just_under_the_similarity(spark, partitions):
     assert all(of[g * size + 1] == g * size for g in range(groups))
 
 
+def test_a_bucket_over_several_ranges_is_one(spark):
+    """All texts share their only band; ranges of a few rows each cut it."""
+    docs = [(i, " ".join([f"w{j}" for j in range(100)] + [f"x{i}"])) for i in range(20)]
+    keys = {"spark.sql.adaptive.enabled": "false", "spark.sql.shuffle.partitions": "8"}
+    before = {k: spark.conf.get(k) for k in keys}
+    try:
+        for k, v in keys.items():
+            spark.conf.set(k, v)
+        rows = dartminhash.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"), bands=1, rows=1).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert {r.class_size for r in rows} == {20}
+
+
 def test_near_duplicates_of_odd_rows(odd, empty):
     rows = dartminhash.near_duplicates(odd).collect()
     assert len(rows) == len(ODD)
