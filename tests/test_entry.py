@@ -41,10 +41,11 @@ def test_every_query_but_the_learned_one_has_an_oracle():
     assert set(queries.QUERIES) - set(oracles.ORACLE_SQL) == {"gbt_forecast"}
 
 
-def test_entry_works_without_the_optional_parts(tmp_path):
-    """The entry point imports where the optional folders aren't there."""
+@pytest.mark.parametrize("pipeline", [True, False])
+def test_entry_works_without_the_optional_parts(tmp_path, pipeline):
+    """The entry point imports where the optional folders aren't there, with the pipeline's file and without it."""
     for p in ROOT.iterdir():
-        if p.name not in ("corpus_pipeline.py", "tramline", "tests", ".git"):
+        if p.name not in ("tramline", "tests", ".git") and (pipeline or p.name != "corpus_pipeline.py"):
             (tmp_path / p.name).symlink_to(p)
     (tmp_path / "tramline").mkdir()
     for p in (ROOT / "tramline").iterdir():
