@@ -98,8 +98,85 @@ def test_quality_ignores_held_out_labels(spark):
 
 
 def test_quality_of_one_class_or_no_rows():
-    assert subwords.Scorer(subwords.train([], [])).scores([b"a b"])[0] == pytest.approx(0.5)
-    assert subwords.Scorer(subwords.train([b"a"], [1])).scores([b"a b", b""]).min() > 0.5
+    assert subwords.Scorer(subwords.train([], [])).scores(["a b"])[0] == pytest.approx(0.5)
+    assert subwords.Scorer(subwords.train(["a"], [1])).scores(["a b", ""]).min() > 0.5
+
+
+def plain_features(text, bits=subwords.BITS):
+    """Shares of a document's buckets, feature by feature."""
+    one = lambda h: int(subwords._bucket(np.array([h], np.uint64), bits)[0])
+    words, found = text.split(), Counter()
+    for w in words:
+        found[one(subwords.hash_of(w))] += 1
+        marked = f"<{w}>"
+        for n in subwords.ORDERS:
+            for i in range(len(marked) - n + 1):
+                h = n
+                for c in marked[i : i + n]:
+                    h = (h * 1000003 + ord(c) + 1) % 2**64
+                found[one(h)] += 1
+    mixed = lambda h: int(subwords._mix(np.array([h % 2**64], np.uint64))[0])
+    for a, b in zip(words, words[1:]):
+        found[one((mixed(subwords.hash_of(a)) + subwords.hash_of(b)) % 2**64)] += 1
+        for i, n in enumerate(subwords.SIDES):
+            found[one((mixed(subwords.hash_of(a[-n:]) + i + 1) + subwords.hash_of(b[:n])) % 2**64)] += 1
+    return {f: c / sum(found.values()) for f, c in found.items()}
+
+
+ODD_TEXTS = ["a bb  a\tccc", "", "日本語 テキスト 日本語", "The The the", "x" * 3000, "é\u00a0è \U0001f600"]
+
+
+def test_features_and_scores_equal_brute_force():
+    docs = subwords.document_features(ODD_TEXTS, subwords.BITS)
+    for text, (feats, share) in zip(ODD_TEXTS, docs):
+        want = plain_features(text)
+        assert dict(zip(feats.tolist(), share)) == pytest.approx(want, rel=1e-5)
+    model = subwords.train(ODD_TEXTS, [1, 0, 1, 0, 1, 0])
+    want = [1 / (1 + math.exp(-(model.bias + sum(model.table[f] * v for f, v in plain_features(t).items())))) for t in ODD_TEXTS]
+    assert subwords.Scorer(model, cache_words=2).scores(ODD_TEXTS) == pytest.approx(want, rel=1e-4)
+    one = subwords.Scorer(model, cache_chars=1)
+    assert [one.scores([t])[0] for t in ODD_TEXTS] == pytest.approx(want, rel=1e-4)
+
+
+def test_a_step_follows_the_gradient_of_the_loss():
+    rng = np.random.default_rng(1)
+    vec, out, bias = rng.normal(size=(7, 3)), rng.normal(size=(3, 2)), rng.normal(size=2)
+    docs = [(np.array([0, 2, 5]), np.array([0.5, 0.25, 0.25])), (np.array([1, 2]), np.array([0.9, 0.1])), (np.array([], int), np.array([]))]
+    y = np.array([1, 0, 1])
+
+    def loss(vec, out, bias):
+        total = 0.0
+        for (feats, share), label in zip(docs, y):
+            z = sum((s * vec[f] for f, s in zip(feats, share)), np.zeros(3)) @ out + bias
+            total += math.log(np.exp(z).sum()) - z[label]
+        return total / len(y)
+
+    by_hidden, by_out, by_bias = subwords.gradients(vec, out, bias, docs, y)
+    by_vec = np.zeros_like(vec)
+    for (feats, share), g in zip(docs, by_hidden):
+        by_vec[feats] += share[:, None] * g
+    for i, (array, grad) in enumerate(((vec, by_vec), (out, by_out), (bias, by_bias))):
+        for at in np.ndindex(array.shape):
+            around = []
+            for d in (1e-5, -1e-5):
+                moved = [vec.copy(), out.copy(), bias.copy()]
+                moved[i][at] += d
+                around.append(loss(*moved))
+            assert grad[at] == pytest.approx((around[0] - around[1]) / 2e-5, abs=1e-6)
+    after = [vec.copy(), out.copy(), bias.copy()]
+    subwords.step(*after, docs, y, np.float32(0.01))
+    assert loss(*after) < loss(vec, out, bias)
+
+
+def test_quality_with_repeated_ids_and_empty_tables(spark, empty):
+    rows = quality_rows(150)
+    labels = spark.createDataFrame([(i, q) for i, _, q in rows], "doc_id long, quality int")
+    twice = [(i, t) for i, t, _ in rows] + [(i, f"{t} again") for i, t, _ in rows[:50]] + [(1, None)]
+    found = [subwords.fit(spark.createDataFrame(rows, "doc_id long, text string").repartition(n), labels) for n, rows in ((1, twice), (5, twice[::-1]))]
+    assert np.array_equal(found[0].table, found[1].table)
+    none = subwords.fit(empty, labels)
+    assert none.bias == 0 and not none.table.any() and not subwords.fit(empty, labels.limit(0)).table.any()
+    assert subwords.keep_good(empty, none).collect() == []
 
 
 def brute_lm(docs, order):
