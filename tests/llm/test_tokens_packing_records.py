@@ -15,12 +15,37 @@ BYTE, WORD = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path
 
 @pytest.mark.parametrize(("path", "kind", "width"), [(BYTE, "byte", 4), (WORD, "word", 2)])
 def test_encoder_equals_the_plain_call(path, kind, width):
-    e = tokens.Encoder(path, kind, width, cache_chunks=50)
+    e, plain = tokens.Encoder(path, width, cache_bytes=5000), Tokenizer.from_file(path)
+    assert e.kind == kind and (kind == "byte" or tokens.Encoder(path).width == width)
     rng = random.Random(3)
-    parts = ["a", "B", "é", " ", "  ", "\n", "\t", "\r\n", "'s", "'", "12", "!", "##", "ß", "İ", "Σ", "é", "\u0301", "日本", "\x00", "\x1c", "\x85", "\u00a0", "\u2003", "<|endoftext|>", "ا", "😀", "don't ", "WE'LL"]
-    for _ in range(1500):
+    parts = ["a", "B", "é", " ", "  ", "\n", "\t", "\r\n", "'s", "'", "12", "!", "##", "ß", "İ", "Σ", "é", "\u0301", "日本", "\x00", "\x1c", "\x85", "\u00a0", "\u2003", "<|endoftext|>", "<|ENDOFTEXT|>", "<|startoftext|>", "<|", "ا", "😀", "don't ", "WE'LL"]
+    for _ in range(2500):
         text = "".join(rng.choice(parts) for _ in range(rng.randint(0, 12)))
-        assert np.frombuffer(e.encode(text), f"<u{width}").tolist() == e.direct(text), repr(text)
+        assert np.frombuffer(e.encode(text), f"<u{width}").tolist() == plain.encode(text, add_special_tokens=False).ids, repr(text)
+
+
+@pytest.mark.parametrize("path", [BYTE, WORD])
+def test_long_texts_without_spaces_take_no_cache(path):
+    e, plain = tokens.Encoder(path), Tokenizer.from_file(path)
+    for text in ("日本語" * 4000, "ab" * 6000, "x1" * 6000, "\x00" * 9000, "é" * 9000):
+        assert np.frombuffer(e.encode(text), f"<u{e.width}").tolist() == plain.encode(text, add_special_tokens=False).ids
+    assert e.cache.held < 1000
+    small = tokens.Encoder(path, cache_bytes=20_000)
+    small.encode(" ".join(f"w{i}" for i in range(5000)))
+    assert small.cache.held < 21_000
+
+
+def test_other_vocabularies_go_through_the_plain_call(tmp_path):
+    import json
+
+    for path in (BYTE, WORD):
+        told = json.loads(Tokenizer.from_file(path).to_str())
+        for change in ({"normalizer": {"type": "NFKC"}}, {"pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": True, "trim_offsets": True, "use_regex": True}}, {"added_tokens": [told["added_tokens"][0] | {"lstrip": True}]}):
+            (tmp_path / "v.json").write_text(json.dumps(told | change))
+            e, plain = tokens.Encoder(str(tmp_path / "v.json")), Tokenizer.from_file(str(tmp_path / "v.json"))
+            assert e.kind is None
+            for text in ("ﬁ one  two", " a <|endoftext|> b", ""):
+                assert np.frombuffer(e.encode(text), f"<u{e.width}").tolist() == plain.encode(text, add_special_tokens=False).ids
 
 
 def test_best_subset_is_the_best():
@@ -36,7 +61,6 @@ def test_best_subset_is_the_best():
 
 def check_pieces(rows, docs, window):
     tok = Tokenizer.from_file(BYTE)
-    tok.encode_special_tokens = True
     want = sorted(np.array([*tok.encode(t or "", add_special_tokens=False).ids, 0], "<u4").tobytes() for _, t in docs)
     by_doc, by_seq = defaultdict(list), defaultdict(list)
     for r in rows:
@@ -85,7 +109,6 @@ def test_records_round_trip(spark, odd, empty):
     rows = records.read_records(spark, path, ("doc_id", "start", "n_tokens", "ids", "ids_crc32")).collect()
     rows.sort(key=lambda r: r.start)
     tok = Tokenizer.from_file(WORD)
-    tok.encode_special_tokens = True
     want = [(d, [*tok.encode(t or "", add_special_tokens=False).ids, 1]) for d, t, *_ in ODD]
     assert sorted(map(repr, want)) == sorted(repr((r.doc_id, r.ids)) for r in rows)
     at = 0
@@ -103,6 +126,20 @@ def test_records_round_trip(spark, odd, empty):
     assert records.read_records(spark, path).collect() == []
 
 
+def test_equal_rows_are_dealt_over_files(spark):
+    rows = [(5, "same text")] * 400 + [(6, None)]
+    path = base.scratch_path(spark, "records")
+    small = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(small, "false")  # files of a few bytes would be put together
+    try:
+        manifest = records.write_records(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), path, WORD)
+    finally:
+        spark.conf.unset(small)
+    assert max(m["docs"] for m in manifest) < 300
+    got = sorted(records.read_records(spark, path).collect(), key=lambda r: r.start)
+    assert [r.doc_id for r in got] == [5] * 400 + [6] and got[-1].ids == [1]
+
+
 def test_damaged_records_are_refused(tmp_path):
     import io
 

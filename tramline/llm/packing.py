@@ -119,9 +119,9 @@ class Packer:
                 self.sequence += 1
 
 
-def _pack_task(vocabulary: str, kind: str, end_id: int, window: int, pool: int):
+def _pack_task(vocabulary: str, end_id: int, window: int, pool: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = tokens.encoder(vocabulary, kind, 4).encode
+        encode = tokens.encoder(vocabulary, 4).encode
         end = end_id.to_bytes(4, "little")
         packer = Packer(window, 4, TaskContext.get().partitionId() << 36)
 
@@ -144,17 +144,18 @@ def _pack_task(vocabulary: str, kind: str, end_id: int, window: int, pool: int):
     return run
 
 
-def pack(docs: DataFrame, vocabulary: str, kind: str = "byte", end_id: int = 0, window: int = WINDOW, pool: int = POOL) -> DataFrame:
+def pack(docs: DataFrame, vocabulary: str, end_id: int = 0, window: int = WINDOW, pool: int = POOL) -> DataFrame:
     """The pieces of all documents in their windows, with the ids themselves.
 
     One row per piece: doc_id, start (ids of its document before it), length, doc_tokens (with
     the end id), sequence_id, offset in the sequence, and ids (little-endian unsigned 32 bit).
     Null texts count as empty: such a document is its end id alone. Null and repeated ids of
-    documents are kept as they are; other columns are not read.
+    documents are kept as they are; other columns, whatever their names, are not read; an empty
+    table gives no rows. Ids are those of the library's plain call with add_special_tokens=False.
     """
     base.ship_package(docs.sparkSession)
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return narrow.mapInArrow(_pack_task(vocabulary, kind, end_id, window, pool), PIECES)
+    return narrow.mapInArrow(_pack_task(vocabulary, end_id, window, pool), PIECES)
 
 
 def sequences(pieces: DataFrame, pad_id: int = 0, window: int = WINDOW) -> DataFrame:

@@ -72,9 +72,10 @@ def parse(payload: bytes) -> tuple[int | None, np.ndarray]:
     return (None if null else doc_id), ids
 
 
-def _write_task(path: str, vocabulary: str, kind: str, end_id: int, width: int):
+def _write_task(path: str, vocabulary: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = tokens.encoder(vocabulary, kind, width).encode
+        encoder = tokens.encoder(vocabulary)
+        encode, width = encoder.encode, encoder.width
         end = end_id.to_bytes(width, "little")
         shard = TaskContext.get().partitionId()
         name, index, at, n_tokens = f"shard-{shard:06d}", [], 0, 0
@@ -97,19 +98,22 @@ def _write_task(path: str, vocabulary: str, kind: str, end_id: int, width: int):
 _SHARD = pa.schema([("shard", pa.int32()), ("docs", pa.int64()), ("tokens", pa.int64()), ("bytes", pa.int64())])
 
 
-def write_records(docs: DataFrame, path: str, vocabulary: str, kind: str = "word", end_id: int = 1, vocabulary_size: int = 49_408) -> list[dict]:
+def write_records(docs: DataFrame, path: str, vocabulary: str, end_id: int = 1) -> list[dict]:
     """Encode all documents and write them in ascending doc_id order; returns the manifest.
 
     Null texts count as empty (their end id alone); null ids come first; rows with equal ids
-    follow each other in the order of a hash of their text. Ids take 2 bytes where the
-    vocabulary allows, else 4. Other columns are not read.
+    follow each other in the order of a hash of their text, and rows with equal texts too in that
+    of a hash of their place, so that many equal rows are still dealt over files. Ids take 2
+    bytes where the vocabulary allows, else 4. Other columns are not read; an empty table makes
+    a manifest without files.
     """
     spark = docs.sparkSession
     base.ship_package(spark)
-    width = 2 if vocabulary_size <= 1 << 16 else 4
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("_h", F.xxhash64("text"))
-    ordered = narrow.repartitionByRange("doc_id", "_h").sortWithinPartitions("doc_id", "_h")
-    written = ordered.select("doc_id", "text").mapInArrow(_write_task(path, vocabulary, kind, end_id, width), "shard int, docs long, tokens long, bytes long")
+    # Equal rows make equal records: it doesn't matter which of them a number goes to.
+    narrow = base.with_uid(narrow)
+    ordered = narrow.repartitionByRange("doc_id", "_h", "_uid").sortWithinPartitions("doc_id", "_h", "_uid")
+    written = ordered.select("doc_id", "text").mapInArrow(_write_task(path, vocabulary, end_id), "shard int, docs long, tokens long, bytes long")
     before = spark.conf.get(base.CLEANUP, "false")
     spark.conf.set(base.CLEANUP, "true")
     try:

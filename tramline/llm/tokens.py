@@ -3,16 +3,23 @@
 Texts of a large corpus repeat their words. A text is cut at places where the tokenizer's own
 pre-tokenisation always cuts, each distinct chunk is encoded once by the library's model, and
 the ids of a text are the joined ids of its chunks. ``Encoder.direct`` is the plain call that
-this must equal; tests hold the two against each other.
+this must equal; tests hold the two against each other. A vocabulary file whose steps before
+the model aren't those that the cuts are made for, and a text that holds one of the file's
+added tokens, go through the plain call.
 """
 
 from __future__ import annotations
 
+import json
+import sys
+
 import regex
 from tokenizers import Tokenizer
 
-#: Chunks that an encoder keeps; beyond that it begins anew.
-CACHE_CHUNKS = 400_000
+#: Bytes of memory that an encoder's cache may take; beyond that it begins anew.
+CACHE_BYTES = 96_000_000
+#: Characters of the longest chunk that is kept.
+CHUNK_CHARS = 48
 
 #: The pre-tokenisation patterns that the two vocabularies were built with.
 BYTE_PIECES = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -22,6 +29,31 @@ WORD_PIECES = r"""'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"""
 PLAIN_BELOW = "ɐ"
 
 
+#: What the two kinds do to a text before the model, in the vocabulary file's terms.
+STEPS = {
+    "byte": {"normalizer": None, "pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}},
+    "word": {
+        "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+        "pre_tokenizer": {"type": "Sequence", "pretokenizers": [{"type": "Split", "pattern": {"Regex": WORD_PIECES}, "behavior": "Removed", "invert": True}, {"type": "ByteLevel", "add_prefix_space": False, "use_regex": False}]},
+    },
+}
+
+
+def _plain(steps):
+    """Steps without what concerns offsets alone."""
+    if isinstance(steps, dict):
+        return {k: _plain(v) for k, v in steps.items() if k != "trim_offsets"}
+    return [_plain(s) for s in steps] if isinstance(steps, list) else steps
+
+
+def kind_of(described: dict) -> str | None:
+    """Which kind of cuts fits a vocabulary file; None where no cut is known to be safe."""
+    model = described["model"]
+    if model["type"] != "BPE" or model.get("dropout") or described.get("post_processor") and described["post_processor"]["type"] != "ByteLevel":
+        return None
+    return next((k for k, steps in STEPS.items() if all(_plain(described.get(part)) == steps[part] for part in steps)), None)
+
+
 def _byte_alphabet() -> str:
     """The printable stand-in of each byte in byte-level vocabularies, by that scheme's rule."""
     shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -36,34 +68,47 @@ def _byte_alphabet() -> str:
 
 
 class _Chunks(dict):
-    """Chunks and their ids; a chunk that isn't there yet is encoded when it is asked for."""
+    """Chunks and their ids; a chunk that isn't there yet is encoded when it is asked for, and kept
+    if it is short and there is room."""
 
-    def __init__(self, encode):
-        self.encode = encode
+    def __init__(self, encode, room: int):
+        self.encode, self.room, self.held = encode, room, 0
 
     def __missing__(self, chunk: str) -> bytes:
-        got = self[chunk] = self.encode(chunk)
+        got = self.encode(chunk)
+        if len(chunk) <= CHUNK_CHARS and self.held < self.room:
+            self[chunk] = got
+            self.held += sys.getsizeof(chunk) + sys.getsizeof(got) + 100  # and its place in the table
         return got
 
 
 class Encoder:
     """Texts to little-endian ids of ``width`` bytes, by one vocabulary file.
 
-    ``kind`` is "byte" (byte-level pieces with their leading space) or "word" (lower-cased
-    pieces without white space). Strings of special tokens in a text are ordinary text.
+    Equal, id for id, to the library's plain call with add_special_tokens=False, which takes
+    strings of added tokens in a text for those tokens. ``kind`` is that of the file: "byte"
+    (byte-level pieces with their leading space), "word" (lower-cased pieces without white
+    space) or None (any other: each text goes through the plain call). By default ids take 2
+    bytes where the vocabulary allows, else 4.
     """
 
-    def __init__(self, path: str, kind: str, width: int = 4, cache_chunks: int = CACHE_CHUNKS):
+    def __init__(self, path: str, width: int | None = None, cache_bytes: int = CACHE_BYTES):
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.tokenizer.no_truncation()
-        self.kind, self.width, self.cache_chunks = kind, width, cache_chunks
+        self.tokenizer.no_padding()
+        described = json.loads(self.tokenizer.to_str())
+        size = max(self.tokenizer.get_vocab_size(), 1 + max(self.tokenizer.get_vocab().values(), default=0))
+        self.kind, self.width = kind_of(described), width or (2 if size <= 1 << 16 else 4)
+        added = described.get("added_tokens") or []
+        if any(t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"] for t in added):
+            self.kind = None
+        self.added = [t["content"] for t in added]
         self.model = self.tokenizer.model
-        self.find = regex.compile(BYTE_PIECES if kind == "byte" else WORD_PIECES).findall
+        self.find = regex.compile(BYTE_PIECES if self.kind == "byte" else WORD_PIECES).findall
         self.alphabet = {b: c for b, c in enumerate(_byte_alphabet())}
-        self.cache = _Chunks(self._encode_chunk)
+        self.cache = _Chunks(self._encode_chunk, cache_bytes)
         self.pieces: dict[str, bytes] = {}
-        self.packed = [i.to_bytes(width, "little") for i in range(self.tokenizer.get_vocab_size())]
+        self.packed = [i.to_bytes(self.width, "little") for i in range(size)]
 
     def direct(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
@@ -108,14 +153,17 @@ class Encoder:
 
     def encode(self, text: str) -> bytes:
         cache = self.cache
+        if self.kind is None or any(t in text for t in self.added):
+            return self._pack(self.direct(text))
         if self.kind == "byte" and ("  " in text or " \n" in text or "\t" in text or "\r" in text or " " == text[-1:]):
             chunks = self._chunks(text)
         elif self.kind == "byte":
             chunks = text.replace(" ", "\x00 ").split("\x00") if "\x00" not in text else self._chunks(text)
         else:
             chunks = self._chunks(text)
-        if len(cache) > self.cache_chunks:
+        if cache.held >= cache.room:
             cache.clear()
+            cache.held = 0
             self.pieces.clear()
         return b"".join(map(cache.__getitem__, chunks))
 
@@ -123,10 +171,10 @@ class Encoder:
 _ENCODERS: dict[tuple, Encoder] = {}
 
 
-def encoder(path: str, kind: str, width: int) -> Encoder:
+def encoder(path: str, width: int | None = None) -> Encoder:
     """The encoder of this worker process for a vocabulary file, kept between tasks."""
-    key = (path, kind, width)
+    key = (path, width)
     if key not in _ENCODERS:
         _ENCODERS.clear()
-        _ENCODERS[key] = Encoder(path, kind, width)
+        _ENCODERS[key] = Encoder(path, width)
     return _ENCODERS[key]
