@@ -1,6 +1,6 @@
 import hashlib
 import random
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -67,8 +67,14 @@ def test_kept_rows_keep_clashing_columns(odd):
 
 
 def sets_of(t):
+    """Shingles with how often they occur."""
     w = (t or "").encode().lower().split()
-    return frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset()
+    return Counter(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else Counter()
+
+
+def similarity(a, b):
+    """Weighted Jaccard: lesser weights over greater ones."""
+    return (a & b).total() / (a | b).total()
 
 
 def brute_classes(texts):
@@ -82,8 +88,7 @@ def brute_classes(texts):
     sets = [sets_of(t) for t in texts]
     for i in range(len(texts)):
         for j in range(i):
-            both = len(sets[i] & sets[j])
-            if (not sets[i] and not sets[j]) or (both and both >= 0.8 * len(sets[i] | sets[j])):
+            if sets[i] == sets[j] or sets[i] and sets[j] and similarity(sets[i], sets[j]) >= 0.8:
                 root[max(find(i), find(j))] = min(find(i), find(j))
     return [find(i) for i in range(len(texts))]
 
@@ -114,6 +119,53 @@ def test_a_large_group_of_near_copies_is_one_class(spark):
     assert {r.class_size for r in rows} == {400}
 
 
+def test_weights_decide_links(spark):
+    """Texts with one set of shingles and other counts, and texts of repeated lines."""
+    rng = random.Random(6)
+    docs = []
+    for i in range(60):
+        lines = [" ".join(f"l{i}x{j}w{k}" for k in range(12)) for j in range(6)]
+        for copy in range(6):
+            times = [rng.choice([1, 1, 2, 3, 5, 9]) if copy % 2 else 2 for _ in lines]
+            docs.append(" ".join(x for x, n in zip(lines, times) for x in [x] * n))
+    df = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string").repartition(3)
+    rows = dartminhash.near_duplicates(df).collect()
+    want = brute_classes(docs)
+    mine = {r.doc_id: r.class_uid for r in rows}
+    assert len({(want[i], mine[i]) for i in mine}) == len(set(want)) == len(set(mine.values()))
+    sets = [frozenset(sets_of(t)) for t in docs]
+    assert any(sets[i] == sets[j] and want[i] != want[j] for i in range(len(docs)) for j in range(i))
+
+
+@pytest.mark.parametrize("wide", [7, 1000])
+def test_second_pass_compares_all_blocks(spark, monkeypatch, wide):
+    """Rows of two hundred classes of one bucket, one class with half of all rows."""
+    monkeypatch.setattr(dartminhash, "WIDE", wide)
+    rng = np.random.default_rng(2)
+    codes = rng.integers(0, 4, (90, 160), dtype=np.uint8)
+    cls = np.where(np.arange(90) % 2, np.arange(90), -1)
+    n = rng.integers(80, 120, 90)
+    for i in range(0, 80, 5):
+        codes[i + 3] = codes[i]
+        codes[i + 3, : 10 * (i % 6)] = 9
+    rows = [(7, int(i), int(n[i]), int(cls[i]), bytes(codes[i])) for i in range(90)]
+    df = spark.createDataFrame(rows, "bh long, uid long, n int, class long, bytes binary").repartition(3)
+    got = {(r.a, r.b) for r in dartminhash._rest(df, 0.8).collect()}
+    need = 0.8 - dartminhash.DOUBT * (0.16 / 160) ** 0.5
+    want = {(i, j) for j in range(90) for i in range(j) if cls[i] != cls[j] and min(n[i], n[j]) >= 0.8 * max(n[i], n[j]) and (codes[i] == codes[j]).mean() >= need}
+    assert got == want and len(want) > 3
+
+
+def test_scratch_tables_go(spark, odd):
+    import os
+
+    folder = base.scratch_root(spark).removeprefix("file://")
+    before = set(os.listdir(folder)) if os.path.isdir(folder) else set()
+    out = dartminhash.near_duplicates(odd)
+    assert out.count() == len(ODD)
+    assert {x.split("-")[0] for x in set(os.listdir(folder)) - before} == {"members", "heads"}
+
+
 def just_under(groups, size, seed):
     """Groups whose texts share 200 shingles of 226 (0.794); of each, the first two share two more (0.808)."""
     rng = random.Random(seed)
@@ -134,7 +186,7 @@ def test_links_among_pairs_just_under_the_similarity(spark, partitions):
     groups, size = 12, 90
     texts = just_under(groups, size, 5)
     sets = [sets_of(t) for t in texts[:3]]
-    assert [len(a & b) / len(a | b) >= 0.8 for a, b in ((sets[0], sets[1]), (sets[0], sets[2]))] == [True, False]
+    assert [similarity(a, b) >= 0.8 for a, b in ((sets[0], sets[1]), (sets[0], sets[2]))] == [True, False]
     before = spark.conf.get("spark.sql.shuffle.partitions")
     spark.conf.set("spark.sql.shuffle.partitions", partitions)
     try:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
 import contextlib
 import io
 import os
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -20,18 +22,52 @@ CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, as the session names it.
 
-    Only where ``spark.checkpoint.dir`` is unset, as in tests on one machine, is a folder
-    of the local machine chosen and set.
+    Only where ``spark.checkpoint.dir`` is unset and all runs on one machine, as in tests, is a
+    folder of that machine chosen and set; elsewhere that is an error.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="tramline-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
 
 
+def scratch_root(spark: SparkSession) -> str:
+    """The folder of this application's scratch tables; it goes when the driver ends."""
+    root = f"{shared_dir(spark)}/tramline/{spark.sparkContext.applicationId}"
+    if root not in _ROOTS:
+        _ROOTS.add(root)
+        atexit.register(remove, root)
+    return root
+
+
+_ROOTS: set[str] = set()
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/tramline/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    return f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def remove(path: str) -> None:
+    """Delete a folder of the shared folder; one that isn't there, or can't be reached now, is left."""
+    scheme, name = _split(path)
+    if not scheme:
+        shutil.rmtree(name, ignore_errors=True)
+        return
+    from pyarrow import fs
+
+    with contextlib.suppress(OSError):
+        store, inner = fs.FileSystem.from_uri(path)
+        store.delete_dir(inner)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that ``materialize`` wrote, once nothing that is still to run reads them."""
+    for df in tables:
+        if path := getattr(df, "_tramline_path", None):
+            remove(path)
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -49,7 +85,9 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
         df.write.option("compression", "zstd").parquet(path)
     finally:
         spark.conf.set(CLEANUP, before)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._tramline_path = path
+    return out
 
 
 def ship_package(spark: SparkSession) -> None:

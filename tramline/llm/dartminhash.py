@@ -1,24 +1,30 @@
 """Near-duplicates by DartMinHash signatures, banded joining and exact verification.
 
-A document is the set of its five-word shingles, each with a weight. Darts are thrown by a
-hash of the shingle: they arrive in order of rank, at a rate equal to the shingle's weight,
-each at a random coordinate of the signature; weights are cut into dyadic regions, so that a
-heavier shingle keeps the darts of a lighter one and adds its own. All darts up to a rank that
-is inversely proportional to the total weight are thrown, about k ln k of them whatever the
-size of the document, and each coordinate keeps its earliest dart. Two documents agree on a
-coordinate with the probability of their weighted Jaccard similarity.
-
-Documents with equal shingle sets are one class from the start. The others meet in bands of
+A document is the weighted set of its five-word shingles; a shingle's weight is how often it
+occurs. Two documents are linked if the weighted Jaccard similarity of their sets, the sum of
+lesser weights over the sum of greater ones, is high enough.
+
+Darts are thrown by a hash of the shingle: they arrive in order of rank, at a rate equal to the
+shingle's weight, each at a random coordinate of the signature; weights are cut into dyadic
+regions, so that a heavier shingle keeps the darts of a lighter one and adds its own. All darts
+up to a rank that is inversely proportional to the total weight are thrown, about k ln k of them
+whatever the size of the document, and each coordinate keeps its earliest dart. Two documents
+agree on a coordinate with the probability of their weighted similarity.
+
+Documents with equal weighted sets are one class from the start. The others meet in bands of
 coordinates. In a band, rows are sorted by its hash and then by the coordinates that follow it;
 a run of equal hashes that is longer than a block is cut further by those coordinates, so that
 no group, however large, is gathered in one place, and alike documents stay side by side. A
 block yields a tree of its most alike pairs. Pairs are verified by the exact similarity of
-their shingle sets, and links make classes by connected components.
+their weighted sets (a shingle that occurs three times is three elements), and links make classes
+by connected components.
 
 Those pairs are only a cheap start. A second pass takes every bucket, whole, that still holds
-rows of different classes, and verifies all pairs of such rows whose sizes allow a link. Pairs
-inside a class are never made, so a large group of near copies costs nothing there; a large
-group whose pairs are just under the similarity costs all its pairs.
+rows of different classes, compares all signatures of such rows and verifies the pairs whose
+signatures and sizes allow a link. A bucket is dealt in blocks, each pair of blocks a unit of
+its own, so no unit is larger than two blocks. Rows of one class aren't compared, so a large
+group of near copies costs nothing there; a large group whose pairs are just under the
+similarity costs all its pairs.
 """
 
 from __future__ import annotations
@@ -43,8 +49,13 @@ DEEP = 32
 BLOCK = 96
 #: Others of its block that a document is compared with besides those that the tree gives it.
 NEIGHBOURS = 3
-#: Share of agreeing bytes under which a pair can't reach the similarity, but for one in 10^5.
+#: Share of agreeing bytes, of ``DEEP``, under which the first pass leaves a pair to the second.
 HOPELESS = 0.45
+#: Standard errors that the agreement of whole signatures may lie under the similarity: one link in
+#: a million looks less alike.
+DOUBT = 4.75
+#: Documents of a block of the second pass.
+WIDE = 1000
 #: Darts that one batch of documents may take.
 BATCH_DARTS = 400_000
 
@@ -135,10 +146,17 @@ def _throw(h: np.ndarray, doc: np.ndarray, weight: np.ndarray, limit: np.ndarray
     return best.reshape(n_docs, k), dart.reshape(n_docs, k)
 
 
-_SETS = "uid long, doc_id long, n int, key1 long, key2 long, shingles array<int>, bands array<long>, bytes binary"
+_SETS = "uid long, doc_id long, n int, key1 long, key2 long, shingles array<long>, bands array<long>, bytes binary"
 
 
-def _set_task(bands: int, rows: int, words: int, counted: bool):
+def elements(h: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """A weighted set as a plain one: an element for each time that a shingle occurs."""
+    nth = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+    h = np.repeat(h, counts)
+    return np.where(nth > 0, mix(h + nth.astype(np.uint64) * _GOLD), h)
+
+
+def _set_task(bands: int, rows: int, words: int):
     k = bands * rows
     per_batch = max(1, int(BATCH_DARTS / (k * (np.log(k) + 1.5))))
 
@@ -149,24 +167,21 @@ def _set_task(bands: int, rows: int, words: int, counted: bool):
                     part = whole.slice(at, per_batch)
                     texts = [t or b"" for t in part.column("text").cast(pa.binary()).to_pylist()]
                     h, doc, counts = shingles(texts, words)
-                    weight = counts.astype(np.float64) if counted else np.ones(len(h))
-                    sig = dart_signatures(h, doc, weight, len(texts), k)
-                    n = np.bincount(doc, minlength=len(texts))
+                    sig = dart_signatures(h, doc, counts.astype(np.float64), len(texts), k)
+                    n = np.bincount(doc, counts, len(texts)).astype(np.int64)
                     ends = np.cumsum(n)
                     starts = ends - n
-                    # Two independent sums over the set (with counts, if they weigh) tell equal sets.
-                    salt = counts.astype(np.uint64) if counted else np.uint64(1)
+                    all_of = elements(h, counts)
+                    # Two independent sums over the elements tell equal sets.
                     keys = []
                     for c in (_M1, _M2):
-                        terms = np.append(mix(h * c + salt), np.uint64(0))
-                        sums = np.append(np.uint64(0), np.cumsum(terms, dtype=np.uint64))
+                        sums = np.append(np.uint64(0), np.cumsum(mix(all_of * c + np.uint64(1)), dtype=np.uint64))
                         keys.append(mix(sums[ends] - sums[starts] + n.astype(np.uint64)).view(np.int64))
                     by_band = np.zeros((len(texts), bands), dtype=np.uint64)
                     for j in range(rows):
                         by_band = mix(by_band * _GOLD + sig.reshape(len(texts), bands, rows)[:, :, j])
                     by_band = mix(by_band + np.arange(bands, dtype=np.uint64) * _M1).view(np.int64)
-                    small = np.sort((h >> np.uint64(32)).astype(np.uint32).view(np.int32)) if len(texts) == 1 else (h >> np.uint64(32)).astype(np.uint32).view(np.int32)
-                    lists = pa.ListArray.from_arrays(pa.array(np.append(0, ends).astype(np.int32)), pa.array(small))
+                    lists = pa.ListArray.from_arrays(pa.array(np.append(0, ends).astype(np.int32)), pa.array(all_of.view(np.int64)))
                     flat = pa.ListArray.from_arrays(pa.array((np.arange(len(texts) + 1) * bands).astype(np.int32)), pa.array(by_band.ravel()))
                     raw = (sig & np.uint64(255)).astype(np.uint8)
                     yield pa.RecordBatch.from_arrays(
@@ -305,38 +320,111 @@ def _links(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     right = in_pairs.select(F.col("uid").alias("b"), F.col("n").alias("nb"), F.col("shingles").alias("sb"))
     both = F.size(F.array_intersect("sa", "sb"))
     links = pairs.join(left, "a").join(right, "b").withColumn("both", both).filter(F.col("both") >= F.lit(similarity) * (F.col("na") + F.col("nb") - F.col("both"))).select("a", "b")
-    return base.materialize(links, "near")
+    links = base.materialize(links, "near")
+    base.discard(in_pairs)
+    return links
+
+
+def _unit_task(similarity: float):
+    """Rows sorted by their unit (bh, i, j) to the pairs of different classes that may be links.
+
+    Rows of two blocks (``side``) meet those of the other block only; their own block has a unit for itself.
+    """
+
+    def pairs_of(rows: list[pa.RecordBatch]) -> np.ndarray | None:
+        t = pa.Table.from_batches(rows)
+        uid, n, cls, side = (t.column(c).to_numpy() for c in ("uid", "n", "class", "side"))
+        raw = t.column("bytes").combine_chunks()
+        codes = np.frombuffer(b"".join(raw.to_pylist()), np.uint8).reshape(len(uid), -1)
+        k = codes.shape[1]
+        need = similarity - DOUBT * np.sqrt(similarity * (1 - similarity) / k)
+        order = np.lexsort((uid, n))  # by size, so that the sizes that fit are a run
+        uid, n, cls, side, codes = uid[order], n[order], cls[order], side[order], codes[order]
+        one = side.min() == side.max()
+        tops = np.searchsorted(n, n / similarity, "right")
+        found = []
+        for at in range(len(uid)):
+            near = np.arange(at + 1, tops[at])
+            near = near[(cls[near] != cls[at]) & (one | (side[near] != side[at]))]
+            if len(near):
+                near = near[(codes[near] == codes[at]).mean(axis=1) >= need]
+                found.append(np.stack([np.full(len(near), uid[at]), uid[near]], 1))
+        return np.sort(np.concatenate(found), axis=1) if found else None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def units():
+            held: list[pa.RecordBatch] = []
+            key = None
+            for b in batches:
+                keys = np.stack([b.column(c).to_numpy() for c in ("bh", "i", "j")], 1)
+                cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1), len(keys)]
+                for low, high in zip(cuts, cuts[1:]):
+                    if high > low:
+                        if held and tuple(keys[low]) != key:
+                            yield held
+                            held = []
+                        key = tuple(keys[low])
+                        held.append(b.slice(low, high - low))
+            if held:
+                yield held
+
+        seen: list[np.ndarray] = []
+        size = 0
+        for rows in units():
+            if sum(r.num_rows for r in rows) > 1 and (got := pairs_of(rows)) is not None and len(got):
+                seen.append(got)
+                size += len(got)
+            if size > 500_000:
+                yield _found(*np.unique(np.concatenate(seen), axis=0).T).drop_columns(["bh"])
+                seen, size = [], 0
+        if seen:
+            yield _found(*np.unique(np.concatenate(seen), axis=0).T).drop_columns(["bh"])
+
+    return run
 
 
 def _rest(rows: DataFrame, similarity: float) -> DataFrame:
-    """All pairs of rows (bh, uid, n, class) of one bucket and different classes whose sizes allow a link.
+    """All pairs of rows (bh, uid, n, class, bytes) of one bucket and different classes that may be links.
 
-    The rows of the largest class of a bucket meet only the rows of the others.
+    The rows of the largest class of a bucket meet only the rows of the others. Both are dealt in
+    blocks by a hash of the row; a unit is two blocks of others, or one of each.
     """
     each = rows.groupBy("bh", "class").agg(F.count("*").alias("m"))
-    mixed = each.groupBy("bh").agg(F.max(F.struct("m", "class"))["class"].alias("most"), F.count("*").alias("k")).filter("k > 1").drop("k")
+    top = F.max(F.struct("m", "class"))
+    mixed = each.groupBy("bh").agg(top["class"].alias("most"), top["m"].alias("n_most"), F.sum("m").alias("m"), F.count("*").alias("k")).filter("k > 1")
+    blocks = lambda m: F.ceil(m / WIDE).cast("int")
+    mixed = mixed.select("bh", "most", blocks(F.col("m") - F.col("n_most")).alias("b_others"), blocks(F.col("n_most")).alias("b_most"))
     mixed = base.materialize(rows.join(mixed.hint("merge"), "bh"), "mixed")
-    others = mixed.filter("class <> most").select("bh", F.col("uid").alias("v"), F.col("n").alias("nv"), F.col("class").alias("cv"))
-    apart = (F.col("class") != F.col("cv")) & ((F.col("class") == F.col("most")) | (F.col("uid") < F.col("v")))
-    sized = F.least("n", "nv") >= F.lit(similarity) * F.greatest("n", "nv")
-    met = mixed.join(others.hint("merge"), "bh").filter(apart & sized)
-    return base.materialize(met.select(F.least("uid", "v").alias("a"), F.greatest("uid", "v").alias("b")).distinct(), "rest")
-
-
-def near_duplicates(docs: DataFrame, uid: str | None = None, similarity: float = SIMILARITY, words: int = WORDS, bands: int = BANDS, rows: int = ROWS, block: int = BLOCK, counted: bool = False) -> DataFrame:
+    is_most = F.col("class") == F.col("most")
+    block = F.pmod(F.xxhash64("uid"), F.when(is_most, F.col("b_most")).otherwise(F.col("b_others"))).cast("int")
+    to = lambda n: F.sequence(F.lit(0), n - 1)
+    # Units: (i, j) with i <= j for two blocks of others; (-1 - a, j) for block a of the largest class.
+    ofs = F.transform(to(F.col("b_others")), lambda j: F.when(is_most, F.struct((-1 - F.col("block")).alias("i"), j.alias("j"))).otherwise(F.struct(F.least(F.col("block"), j).alias("i"), F.greatest(F.col("block"), j).alias("j"))))
+    more = F.transform(to(F.col("b_most")), lambda a: F.struct((-1 - a).alias("i"), F.col("block").alias("j")))
+    units = mixed.withColumn("block", block).withColumn("unit", F.explode(F.when(is_most, ofs).otherwise(F.concat(ofs, more))))
+    side = F.when(F.col("unit.i") < 0, is_most).otherwise(F.col("block") == F.col("unit.j")).cast("int").alias("side")
+    dealt = units.select("bh", F.col("unit.i").alias("i"), F.col("unit.j").alias("j"), side, "uid", "n", "class", "bytes")
+    dealt = dealt.repartition("bh", "i", "j").sortWithinPartitions("bh", "i", "j")
+    found = dealt.mapInArrow(_unit_task(similarity), "a long, b long")
+    pairs = base.materialize(found.distinct(), "rest")
+    base.discard(mixed)
+    return pairs
+
+
+def near_duplicates(docs: DataFrame, uid: str | None = None, similarity: float = SIMILARITY, words: int = WORDS, bands: int = BANDS, rows: int = ROWS, block: int = BLOCK) -> DataFrame:
     """One row per row of ``docs``: uid, doc_id, class_id, class_uid, class_size, representative.
 
-    Documents of a class are linked by pairs whose shingle sets have at least ``similarity``
-    (Jaccard; with ``counted``, signatures weigh shingles by how often they occur, and only
-    candidates follow the weights). class_uid is the row of the class that stays, the first of
-    it, and class_id its doc_id. Texts without words, null ones among them, are one class.
-    Repeated rows and null or repeated ids keep a row each; they are told apart by the long column
-    ``uid``, by default their place. Other columns, whatever their names, are not read.
+    Documents of a class are linked by pairs whose shingles, weighted by how often they occur,
+    have at least ``similarity`` (weighted Jaccard). class_uid is the row of the class that stays,
+    the first of it, and class_id its doc_id. Texts without words, null ones among them, are one
+    class; a text of fewer words than a shingle is one shingle. Repeated rows and null or repeated
+    ids keep a row each; they are told apart by the long column ``uid``, by default their place.
+    An empty table gives no rows. Other columns, whatever their names, are not read.
     """
     place = F.col(uid) if uid else F.monotonically_increasing_id()
     base.ship_package(docs.sparkSession)
     narrow = docs.select(place.alias("_uid"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sets = base.materialize(narrow.mapInArrow(_set_task(bands, rows, words, counted), _SETS), "sets")
+    sets = base.materialize(narrow.mapInArrow(_set_task(bands, rows, words), _SETS), "sets")
 
     # Equal sets are one node: the first row that has the set.
     nodes = base.materialize(sets.groupBy("key1", "key2").agg(F.min("uid").alias("node")), "nodes")
@@ -352,10 +440,12 @@ def near_duplicates(docs: DataFrame, uid: str | None = None, similarity: float =
     roots = graph.components(links)
 
     # What the first pairs left apart and yet shares a bucket.
-    classes = firsts.select("uid", "n").join(roots.select(F.col("node").alias("uid"), "root").hint("merge"), "uid", "left").select("uid", "n", F.coalesce("root", "uid").alias("class"))
+    classes = firsts.select("uid", "n", "bytes").join(roots.select(F.col("node").alias("uid"), "root").hint("merge"), "uid", "left").select("uid", "n", "bytes", F.coalesce("root", "uid").alias("class"))
     met = found.filter("bh is not null").select("bh", F.col("a").alias("uid")).join(classes.hint("merge"), "uid")
-    more = _links(_rest(met, similarity), sets, similarity)
+    rest = _rest(met, similarity)
+    more = _links(rest, sets, similarity)
     if not more.isEmpty():
+        base.discard(roots)
         roots = graph.components(links.unionByName(more))
 
     named = nodes.join(roots, "node", "left").select("key1", "key2", F.coalesce("root", "node").alias("class_uid"))
@@ -363,12 +453,17 @@ def near_duplicates(docs: DataFrame, uid: str | None = None, similarity: float =
     members = sets.select("uid", "doc_id", "key1", "key2").join(named, ["key1", "key2"]).select("uid", "doc_id", "class_uid")
     members = base.materialize(members, "members")
     heads = base.materialize(members.groupBy("class_uid").agg(F.count("*").alias("class_size"), F.min(F.struct("uid", "doc_id")).alias("head")), "heads")
+    base.discard(sets, nodes, found, pairs, links, rest, more, roots, named)
     out = members.join(heads, "class_uid")
     return out.select("uid", "doc_id", F.col("head.doc_id").alias("class_id"), F.col("head.uid").alias("class_uid"), "class_size", (F.col("uid") == F.col("head.uid")).alias("representative"))
 
 
 def keep_one(docs: DataFrame, **how) -> DataFrame:
-    """``docs`` with one row of each class of near-duplicates, and all its columns."""
+    """``docs`` with one row of each class of near-duplicates, and all its columns.
+
+    Of a class the first row stays. Nulls, empty texts, repeated rows and clashing names are
+    handled as in ``near_duplicates``: all texts without words are one class.
+    """
     uid = base.free_name(docs.columns)
     tagged = base.with_uid(docs, uid)
     gone = near_duplicates(tagged, uid, **how).filter(~F.col("representative")).select(F.col("uid").alias(uid))

@@ -25,7 +25,9 @@ def components(links: DataFrame) -> DataFrame:
         low = base.materialize(low, "labels")
         jump = low.select(F.col("node").alias("root"), F.col("root").alias("next"))
         after = base.materialize(low.join(jump, "root", "left").select("node", F.least("root", F.coalesce("next", "root")).alias("root")), "labels")
-        changed = after.join(labels.withColumnRenamed("root", "old"), "node").filter("root <> old").limit(1)
+        done = after.join(labels.withColumnRenamed("root", "old"), "node").filter("root <> old").limit(1).isEmpty()
+        base.discard(low, labels)
         labels = after
-        if changed.isEmpty():
+        if done:
+            base.discard(both)
             return labels
