@@ -30,6 +30,7 @@ similarity costs all its pairs.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -56,6 +57,8 @@ HOPELESS = 0.45
 DOUBT = 4.75
 #: Documents of a block of the second pass.
 WIDE = 1000
+#: Darts that are thrown at once, but for one of each element.
+TURNS = 16_384
 #: Darts that one batch of documents may take.
 BATCH_DARTS = 400_000
 
@@ -75,9 +78,10 @@ def shingles(texts: list[bytes], words: int = WORDS) -> tuple[np.ndarray, np.nda
     shingle has one shingle of them all; a text without words has none.
     """
     split = [t.lower().split() for t in texts]
-    names: dict[bytes, int] = {}
     lens = np.fromiter(map(len, split), dtype=np.int64, count=len(split))
-    ids = np.fromiter((names.setdefault(w, len(names)) for ws in split for w in ws), dtype=np.int64, count=int(lens.sum()))
+    flat = list(chain.from_iterable(split))
+    names = {w: i for i, w in enumerate(dict.fromkeys(flat))}
+    ids = np.fromiter(map(names.__getitem__, flat), dtype=np.int64, count=len(flat))
     hashes = np.fromiter(map(xxhash.xxh64_intdigest, names), dtype=np.uint64, count=len(names))[ids]
     owner = np.repeat(np.arange(len(split)), lens)
     ends = np.cumsum(lens)
@@ -127,26 +131,33 @@ def _throw(h: np.ndarray, doc: np.ndarray, weight: np.ndarray, limit: np.ndarray
         key, rank, turn = mix(h[live] + _GOLD * np.uint64(region + 1)), np.zeros(len(live)), 0
         home, most, own = doc[live] * k, limit[doc[live]], weight[live]
         while len(key):
-            turn += 1
-            x = mix(key + _GOLD * np.uint64(turn))
-            rank = rank - np.log1p((x >> np.uint64(11)).astype(np.float64) * -(2.0**-53)) / width
-            near = rank <= most
-            if not near.all():
-                key, rank, x, home, most, own = key[near], rank[near], x[near], home[near], most[near], own[near]
-            y = mix(x ^ _M2)
-            slot = home + (((y & np.uint64(0xFFFFFFFF)) * np.uint64(k)) >> np.uint64(32)).astype(np.int64)
-            r, name = rank, x
+            # Few elements that throw many darts each throw several at a time.
+            turns = np.arange(turn + 1, turn + 1 + max(1, min(64, TURNS // len(key))), dtype=np.uint64)
+            turn += len(turns)
+            x = mix(key[:, None] + _GOLD * turns)
+            ranks = np.log1p((x >> np.uint64(11)).astype(np.float64) * -(2.0**-53)) / -width
+            ranks[:, 0] += rank
+            np.cumsum(ranks, axis=1, out=ranks)
+            near = ranks <= most[:, None]
+            at, on = near.nonzero()[0], near[:, -1]
+            name, r = x[near], ranks[near]
+            y = mix(name ^ _M2)
+            slot = home[at] + (((y & np.uint64(0xFFFFFFFF)) * np.uint64(k)) >> np.uint64(32)).astype(np.int64)
             if region or own.min(initial=1.0) < 1.0:
-                inside = low + width * (y >> np.uint64(32)).astype(np.float64) * 2.0**-32 < own
+                inside = low + width * (y >> np.uint64(32)).astype(np.float64) * 2.0**-32 < own[at]
                 slot, r, name = slot[inside], r[inside], name[inside]
             np.minimum.at(best, slot, r)
             won = best[slot] == r
             dart[slot[won]] = name[won]
+            key, rank, home, most, own = key[on], ranks[on, -1], home[on], most[on], own[on]
         low, width, region = low + width, max(1.0, low + width), region + 1
     return best.reshape(n_docs, k), dart.reshape(n_docs, k)
 
 
-_SETS = "uid long, doc_id long, n int, key1 long, key2 long, shingles array<long>, bands array<long>, bytes binary"
+_SETS = "uid long, doc_id long, n int, key1 long, key2 long, bands array<long>, bytes binary"
+_ELEMENTS = "uid long, n int, shingles array<long>"
+#: Characters of the texts whose elements are made at once.
+BATCH_CHARS = 8_000_000
 
 
 def elements(h: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -181,17 +192,40 @@ def _set_task(bands: int, rows: int, words: int):
                     for j in range(rows):
                         by_band = mix(by_band * _GOLD + sig.reshape(len(texts), bands, rows)[:, :, j])
                     by_band = mix(by_band + np.arange(bands, dtype=np.uint64) * _M1).view(np.int64)
-                    lists = pa.ListArray.from_arrays(pa.array(np.append(0, ends).astype(np.int32)), pa.array(all_of.view(np.int64)))
                     flat = pa.ListArray.from_arrays(pa.array((np.arange(len(texts) + 1) * bands).astype(np.int32)), pa.array(by_band.ravel()))
                     raw = (sig & np.uint64(255)).astype(np.uint8)
                     yield pa.RecordBatch.from_arrays(
-                        [part.column("_uid"), part.column("doc_id"), pa.array(n.astype(np.int32)), pa.array(keys[0]), pa.array(keys[1]), lists, flat, pa.array([r.tobytes() for r in raw], pa.binary())],
-                        names=["uid", "doc_id", "n", "key1", "key2", "shingles", "bands", "bytes"],
+                        [part.column("_uid"), part.column("doc_id"), pa.array(n.astype(np.int32)), pa.array(keys[0]), pa.array(keys[1]), flat, pa.array([r.tobytes() for r in raw], pa.binary())],
+                        names=["uid", "doc_id", "n", "key1", "key2", "bands", "bytes"],
                     )
 
     return run
 
 
+def _element_task(words: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def made(uids: list[int], texts: list[bytes]) -> pa.RecordBatch:
+            h, doc, counts = shingles(texts, words)
+            n = np.bincount(doc, counts, len(texts)).astype(np.int32)
+            with np.errstate(over="ignore"):
+                lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(n)).astype(np.int32)), pa.array(elements(h, counts).view(np.int64)))
+            return pa.RecordBatch.from_arrays([pa.array(uids, pa.int64()), pa.array(n), lists], names=["uid", "n", "shingles"])
+
+        for b in batches:
+            uids, texts, size = [], [], 0
+            for uid, text in zip(b.column("_uid").to_pylist(), b.column("text").cast(pa.binary())):
+                uids.append(uid)
+                texts.append(text.as_py() or b"")
+                size += len(texts[-1])
+                if size > BATCH_CHARS:
+                    yield made(uids, texts)
+                    uids, texts, size = [], [], 0
+            if uids:
+                yield made(uids, texts)
+
+    return run
+
+
 def tree(codes: np.ndarray, sizes: np.ndarray, similarity: float) -> list[tuple[int, int]]:
     """Pairs of a block: a tree (or several) of the pairs that agree on most bytes, and for each
     row its nearest others, so that a document at the edge of a large group meets more than one."""
@@ -311,11 +345,11 @@ def _pairs(seen: set[tuple[int, int]]) -> pa.RecordBatch:
     return _found(both[:, 0], both[:, 1])
 
 
-def _links(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """Those of ``pairs`` whose sets have the similarity, exactly."""
-    # Only sets of documents in some pair take part in the exact comparison.
-    wanted = pairs.select(F.col("a").alias("uid")).unionByName(pairs.select(F.col("b").alias("uid"))).distinct()
-    in_pairs = base.materialize(sets.select("uid", "n", "shingles").join(wanted.hint("merge"), "uid", "left_semi"), "insets")
+def _links(pairs: DataFrame, texts: DataFrame, similarity: float, words: int) -> DataFrame:
+    """Those of ``pairs`` whose weighted sets have the similarity, exactly."""
+    # Elements are made anew, and only for documents in some pair: most texts need none.
+    wanted = pairs.select(F.col("a").alias("_uid")).unionByName(pairs.select(F.col("b").alias("_uid"))).distinct()
+    in_pairs = base.materialize(texts.join(wanted.hint("merge"), "_uid", "left_semi").mapInArrow(_element_task(words), _ELEMENTS), "insets")
     left = in_pairs.select(F.col("uid").alias("a"), F.col("n").alias("na"), F.col("shingles").alias("sa"))
     right = in_pairs.select(F.col("uid").alias("b"), F.col("n").alias("nb"), F.col("shingles").alias("sb"))
     both = F.size(F.array_intersect("sa", "sb"))
@@ -416,14 +450,16 @@ def near_duplicates(docs: DataFrame, uid: str | None = None, similarity: float =
 
     Documents of a class are linked by pairs whose shingles, weighted by how often they occur,
     have at least ``similarity`` (weighted Jaccard). class_uid is the row of the class that stays,
-    the first of it, and class_id its doc_id. Texts without words, null ones among them, are one
+    the first of it, and class_id its doc_id. Rows are read more than once: ``uid``, if given, must
+    be the same each time. Texts without words, null ones among them, are one
     class; a text of fewer words than a shingle is one shingle. Repeated rows and null or repeated
     ids keep a row each; they are told apart by the long column ``uid``, by default their place.
     An empty table gives no rows. Other columns, whatever their names, are not read.
     """
-    place = F.col(uid) if uid else F.monotonically_increasing_id()
     base.ship_package(docs.sparkSession)
-    narrow = docs.select(place.alias("_uid"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    narrow = docs.select(*([F.col(uid).alias("_uid")] if uid else []), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    narrow = narrow if uid else base.with_uid(narrow)
+    texts = narrow.select("_uid", "text")
     sets = base.materialize(narrow.mapInArrow(_set_task(bands, rows, words), _SETS), "sets")
 
     # Equal sets are one node: the first row that has the set.
@@ -436,14 +472,14 @@ def near_duplicates(docs: DataFrame, uid: str | None = None, similarity: float =
     dealt = banded.repartitionByRange("bh", "codes", "uid").sortWithinPartitions("bh", "codes", "uid")
     found = base.materialize(dealt.mapInArrow(_pair_task(block, similarity, min(DEEP, k)), "a long, b long, bh long"), "found")
     pairs = base.materialize(found.filter("bh is null").select("a", "b").distinct(), "pairs")
-    links = _links(pairs, sets, similarity)
+    links = _links(pairs, texts, similarity, words)
     roots = graph.components(links)
 
     # What the first pairs left apart and yet shares a bucket.
     classes = firsts.select("uid", "n", "bytes").join(roots.select(F.col("node").alias("uid"), "root").hint("merge"), "uid", "left").select("uid", "n", "bytes", F.coalesce("root", "uid").alias("class"))
     met = found.filter("bh is not null").select("bh", F.col("a").alias("uid")).join(classes.hint("merge"), "uid")
     rest = _rest(met, similarity)
-    more = _links(rest, sets, similarity)
+    more = _links(rest, texts, similarity, words)
     if not more.isEmpty():
         base.discard(roots)
         roots = graph.components(links.unionByName(more))
