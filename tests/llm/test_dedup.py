@@ -139,21 +139,35 @@ def test_weights_decide_links(spark):
 
 @pytest.mark.parametrize("wide", [7, 1000])
 def test_second_pass_compares_all_blocks(spark, monkeypatch, wide):
-    """Rows of two hundred classes of one bucket, one class with half of all rows."""
+    """Rows of many classes in one bucket, one class with half of all rows: all links between classes are told."""
     monkeypatch.setattr(dartminhash, "WIDE", wide)
-    rng = np.random.default_rng(2)
-    codes = rng.integers(0, 4, (90, 160), dtype=np.uint8)
-    cls = np.where(np.arange(90) % 2, np.arange(90), -1)
-    n = rng.integers(80, 120, 90)
-    for i in range(0, 80, 5):
-        codes[i + 3] = codes[i]
-        codes[i + 3, : 10 * (i % 6)] = 9
-    rows = [(7, int(i), int(n[i]), int(cls[i]), bytes(codes[i])) for i in range(90)]
-    df = spark.createDataFrame(rows, "bh long, uid long, n int, class long, bytes binary").repartition(3)
-    got = {(r.a, r.b) for r in dartminhash._rest(df, 0.8).collect()}
-    need = 0.8 - dartminhash.DOUBT * (0.16 / 160) ** 0.5
-    want = {(i, j) for j in range(90) for i in range(j) if cls[i] != cls[j] and min(n[i], n[j]) >= 0.8 * max(n[i], n[j]) and (codes[i] == codes[j]).mean() >= need}
-    assert got == want and len(want) > 3
+    rng = random.Random(2)
+    texts: list[str] = []
+    for i in range(90):
+        words = rng.choice(texts).split() if i % 3 and texts else [f"t{i}w{j}" for j in range(100)]
+        for _ in range(rng.randint(0, 8)):
+            words[rng.randrange(len(words))] = f"x{rng.random()}"
+        texts.append(" ".join(words))
+    cls = [i if i % 2 else -1 for i in range(90)]
+    sets = [sets_of(t) for t in texts]
+    rows = spark.createDataFrame([(7, i, sets[i].total(), cls[i]) for i in range(90)], "bh long, uid long, n int, class long").repartition(3)
+    got = {(r.a, r.b) for r in dartminhash._rest(rows, spark.createDataFrame(list(enumerate(texts)), "_uid long, text string"), 0.8, 5).collect()}
+    want = {(i, j) for j in range(90) for i in range(j) if cls[i] != cls[j] and similarity(sets[i], sets[j]) >= 0.8}
+    assert got <= want and len(want) > 15
+
+    def joined(pairs):
+        root = {c: c for c in cls}
+
+        def find(c):
+            while root[c] != c:
+                c = root[c]
+            return c
+
+        for a, b in pairs:
+            root[find(cls[a])] = find(cls[b])
+        return {frozenset(c for c in root if find(c) == r) for r in map(find, root)}
+
+    assert joined(got) == joined(want)
 
 
 def test_scratch_tables_go(spark, odd):

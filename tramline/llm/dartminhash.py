@@ -20,11 +20,12 @@ their weighted sets (a shingle that occurs three times is three elements), and l
 by connected components.
 
 Those pairs are only a cheap start. A second pass takes every bucket, whole, that still holds
-rows of different classes, compares all signatures of such rows and verifies the pairs whose
-signatures and sizes allow a link. A bucket is dealt in blocks, each pair of blocks a unit of
-its own, so no unit is larger than two blocks. Rows of one class aren't compared, so a large
-group of near copies costs nothing there; a large group whose pairs are just under the
-similarity costs all its pairs.
+rows of different classes, and verifies all pairs of such rows whose sizes allow a link, where
+they meet: a bucket is dealt in blocks of bounded size, each pair of blocks a unit of its own,
+with the weighted sets themselves. A unit tells links, one for each two classes at most, so what
+it tells is no more than its rows, and no pair is ever written. Rows of one class aren't
+compared, so a large group of near copies costs nothing there; a large group whose pairs are
+just under the similarity costs the comparison of all its pairs.
 """
 
 from __future__ import annotations
@@ -52,11 +53,8 @@ BLOCK = 96
 NEIGHBOURS = 3
 #: Share of agreeing bytes, of ``DEEP``, under which the first pass leaves a pair to the second.
 HOPELESS = 0.45
-#: Standard errors that the agreement of whole signatures may lie under the similarity: one link in
-#: a million looks less alike.
-DOUBT = 4.75
-#: Documents of a block of the second pass.
-WIDE = 1000
+#: Documents, and elements of their sets, of a block of the second pass.
+WIDE, WIDE_ELEMENTS = 1000, 400_000
 #: Darts that are thrown at once, but for one of each element.
 TURNS = 16_384
 #: Darts that one batch of documents may take.
@@ -345,11 +343,14 @@ def _pairs(seen: set[tuple[int, int]]) -> pa.RecordBatch:
     return _found(both[:, 0], both[:, 1])
 
 
+def _sets_of(wanted: DataFrame, texts: DataFrame, words: int) -> DataFrame:
+    """(uid, n, shingles) of the rows in ``wanted`` (_uid). Sets are made anew: most texts need none."""
+    return base.materialize(texts.join(wanted.distinct().hint("merge"), "_uid", "left_semi").mapInArrow(_element_task(words), _ELEMENTS), "insets")
+
+
 def _links(pairs: DataFrame, texts: DataFrame, similarity: float, words: int) -> DataFrame:
     """Those of ``pairs`` whose weighted sets have the similarity, exactly."""
-    # Elements are made anew, and only for documents in some pair: most texts need none.
-    wanted = pairs.select(F.col("a").alias("_uid")).unionByName(pairs.select(F.col("b").alias("_uid"))).distinct()
-    in_pairs = base.materialize(texts.join(wanted.hint("merge"), "_uid", "left_semi").mapInArrow(_element_task(words), _ELEMENTS), "insets")
+    in_pairs = _sets_of(pairs.select(F.col("a").alias("_uid")).unionByName(pairs.select(F.col("b").alias("_uid"))), texts, words)
     left = in_pairs.select(F.col("uid").alias("a"), F.col("n").alias("na"), F.col("shingles").alias("sa"))
     right = in_pairs.select(F.col("uid").alias("b"), F.col("n").alias("nb"), F.col("shingles").alias("sb"))
     both = F.size(F.array_intersect("sa", "sb"))
@@ -359,31 +360,47 @@ def _links(pairs: DataFrame, texts: DataFrame, similarity: float, words: int) ->
     return links
 
 
-def _unit_task(similarity: float):
-    """Rows sorted by their unit (bh, i, j) to the pairs of different classes that may be links.
+def unit_links(uid: np.ndarray, cls: np.ndarray, side: np.ndarray, n: np.ndarray, elements: np.ndarray, similarity: float) -> list[tuple[int, int]]:
+    """Links of a unit between rows of different classes, one at most for each two.
 
-    Rows of two blocks (``side``) meet those of the other block only; their own block has a unit for itself.
+    ``elements`` holds the sets one after the other, ``n`` of each row. Rows of two sides meet
+    those of the other side only.
     """
+    ends = np.cumsum(n)
+    names, ids = np.unique(elements, return_inverse=True)
+    order = np.argsort(n, kind="stable")  # by size, so that the sizes that fit are a run
+    sizes = n[order]
+    tops = np.searchsorted(sizes, sizes / similarity, "right")
+    ids = np.concatenate([ids[ends[i] - n[i] : ends[i]] for i in order])
+    ends, uid, side, one = np.cumsum(sizes), uid[order], side[order], side.min() == side.max()
+    cls = np.unique(cls, return_inverse=True)[1][order]
+    mine, out = np.zeros(len(names), dtype=bool), []
+    for at in range(len(uid) - 1):
+        near = np.arange(at + 1, tops[at])
+        near = near[(cls[near] != cls[at]) & (one | (side[near] != side[at]))]
+        if not len(near):
+            continue
+        own = ids[ends[at] - sizes[at] : ends[at]]
+        mine[own] = True
+        lens = sizes[near]
+        starts = np.cumsum(lens) - lens
+        place = np.arange(lens.sum()) + np.repeat(ends[near] - lens - starts, lens)
+        both = np.add.reduceat(mine[ids[place]].astype(np.int64), starts)
+        mine[own] = False
+        for other in near[both >= similarity * (sizes[at] + lens - both)]:
+            if cls[other] != cls[at]:
+                out.append((int(min(uid[at], uid[other])), int(max(uid[at], uid[other]))))
+                cls[cls == cls[other]] = cls[at]
+    return out
+
 
-    def pairs_of(rows: list[pa.RecordBatch]) -> np.ndarray | None:
+def _unit_task(similarity: float):
+    """Rows sorted by their unit (bh, i, j) to links between them."""
+
+    def links_of(rows: list[pa.RecordBatch]) -> list[tuple[int, int]]:
         t = pa.Table.from_batches(rows)
-        uid, n, cls, side = (t.column(c).to_numpy() for c in ("uid", "n", "class", "side"))
-        raw = t.column("bytes").combine_chunks()
-        codes = np.frombuffer(b"".join(raw.to_pylist()), np.uint8).reshape(len(uid), -1)
-        k = codes.shape[1]
-        need = similarity - DOUBT * np.sqrt(similarity * (1 - similarity) / k)
-        order = np.lexsort((uid, n))  # by size, so that the sizes that fit are a run
-        uid, n, cls, side, codes = uid[order], n[order], cls[order], side[order], codes[order]
-        one = side.min() == side.max()
-        tops = np.searchsorted(n, n / similarity, "right")
-        found = []
-        for at in range(len(uid)):
-            near = np.arange(at + 1, tops[at])
-            near = near[(cls[near] != cls[at]) & (one | (side[near] != side[at]))]
-            if len(near):
-                near = near[(codes[near] == codes[at]).mean(axis=1) >= need]
-                found.append(np.stack([np.full(len(near), uid[at]), uid[near]], 1))
-        return np.sort(np.concatenate(found), axis=1) if found else None
+        sets = t.column("shingles").combine_chunks()
+        return unit_links(*(t.column(c).to_numpy() for c in ("uid", "class", "side", "n")), sets.flatten().to_numpy(), similarity)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def units():
@@ -402,33 +419,34 @@ def _unit_task(similarity: float):
             if held:
                 yield held
 
-        seen: list[np.ndarray] = []
-        size = 0
+        seen: set[tuple[int, int]] = set()
         for rows in units():
-            if sum(r.num_rows for r in rows) > 1 and (got := pairs_of(rows)) is not None and len(got):
-                seen.append(got)
-                size += len(got)
-            if size > 500_000:
-                yield _found(*np.unique(np.concatenate(seen), axis=0).T).drop_columns(["bh"])
-                seen, size = [], 0
+            if sum(r.num_rows for r in rows) > 1:
+                seen.update(links_of(rows))
+            if len(seen) > 200_000:
+                yield _pairs(seen).drop_columns(["bh"])
+                seen.clear()
         if seen:
-            yield _found(*np.unique(np.concatenate(seen), axis=0).T).drop_columns(["bh"])
+            yield _pairs(seen).drop_columns(["bh"])
 
     return run
 
 
-def _rest(rows: DataFrame, similarity: float) -> DataFrame:
-    """All pairs of rows (bh, uid, n, class, bytes) of one bucket and different classes that may be links.
+def _rest(rows: DataFrame, texts: DataFrame, similarity: float, words: int) -> DataFrame:
+    """Links (a, b) between rows (bh, uid, n, class) of one bucket and different classes: one at
+    least for each two classes of it that have any.
 
     The rows of the largest class of a bucket meet only the rows of the others. Both are dealt in
-    blocks by a hash of the row; a unit is two blocks of others, or one of each.
+    blocks by a hash of the row; a unit is one or two blocks of others, or one of each.
     """
-    each = rows.groupBy("bh", "class").agg(F.count("*").alias("m"))
-    top = F.max(F.struct("m", "class"))
-    mixed = each.groupBy("bh").agg(top["class"].alias("most"), top["m"].alias("n_most"), F.sum("m").alias("m"), F.count("*").alias("k")).filter("k > 1")
-    blocks = lambda m: F.ceil(m / WIDE).cast("int")
-    mixed = mixed.select("bh", "most", blocks(F.col("m") - F.col("n_most")).alias("b_others"), blocks(F.col("n_most")).alias("b_most"))
+    each = rows.groupBy("bh", "class").agg(F.count("*").alias("m"), F.sum("n").alias("n"))
+    top = F.max(F.struct("m", "class", "n"))
+    mixed = each.groupBy("bh").agg(top.alias("top"), F.sum("m").alias("m"), F.sum("n").alias("n"), F.count("*").alias("k")).filter("k > 1")
+    blocks = lambda m, n: F.greatest(F.ceil(m / WIDE), F.ceil(n / WIDE_ELEMENTS)).cast("int")
+    others, most = blocks(F.col("m") - F.col("top.m"), F.col("n") - F.col("top.n")), blocks(F.col("top.m"), F.col("top.n"))
+    mixed = mixed.select("bh", F.col("top.class").alias("most"), others.alias("b_others"), most.alias("b_most"))
     mixed = base.materialize(rows.join(mixed.hint("merge"), "bh"), "mixed")
+    sets = _sets_of(mixed.select(F.col("uid").alias("_uid")), texts, words)
     is_most = F.col("class") == F.col("most")
     block = F.pmod(F.xxhash64("uid"), F.when(is_most, F.col("b_most")).otherwise(F.col("b_others"))).cast("int")
     to = lambda n: F.sequence(F.lit(0), n - 1)
@@ -437,12 +455,11 @@ def _rest(rows: DataFrame, similarity: float) -> DataFrame:
     more = F.transform(to(F.col("b_most")), lambda a: F.struct((-1 - a).alias("i"), F.col("block").alias("j")))
     units = mixed.withColumn("block", block).withColumn("unit", F.explode(F.when(is_most, ofs).otherwise(F.concat(ofs, more))))
     side = F.when(F.col("unit.i") < 0, is_most).otherwise(F.col("block") == F.col("unit.j")).cast("int").alias("side")
-    dealt = units.select("bh", F.col("unit.i").alias("i"), F.col("unit.j").alias("j"), side, "uid", "n", "class", "bytes")
-    dealt = dealt.repartition("bh", "i", "j").sortWithinPartitions("bh", "i", "j")
-    found = dealt.mapInArrow(_unit_task(similarity), "a long, b long")
-    pairs = base.materialize(found.distinct(), "rest")
-    base.discard(mixed)
-    return pairs
+    units = units.select("bh", F.col("unit.i").alias("i"), F.col("unit.j").alias("j"), side, "uid", "class")
+    dealt = units.join(sets.hint("merge"), "uid").repartition("bh", "i", "j").sortWithinPartitions("bh", "i", "j")
+    links = base.materialize(dealt.mapInArrow(_unit_task(similarity), "a long, b long").distinct(), "rest")
+    base.discard(mixed, sets)
+    return links
 
 
 def near_duplicates(docs: DataFrame, uid: str | None = None, similarity: float = SIMILARITY, words: int = WORDS, bands: int = BANDS, rows: int = ROWS, block: int = BLOCK) -> DataFrame:
@@ -476,10 +493,9 @@ def near_duplicates(docs: DataFrame, uid: str | None = None, similarity: float =
     roots = graph.components(links)
 
     # What the first pairs left apart and yet shares a bucket.
-    classes = firsts.select("uid", "n", "bytes").join(roots.select(F.col("node").alias("uid"), "root").hint("merge"), "uid", "left").select("uid", "n", "bytes", F.coalesce("root", "uid").alias("class"))
+    classes = firsts.select("uid", "n").join(roots.select(F.col("node").alias("uid"), "root").hint("merge"), "uid", "left").select("uid", "n", F.coalesce("root", "uid").alias("class"))
     met = found.filter("bh is not null").select("bh", F.col("a").alias("uid")).join(classes.hint("merge"), "uid")
-    rest = _rest(met, similarity)
-    more = _links(rest, texts, similarity, words)
+    more = _rest(met, texts, similarity, words)
     if not more.isEmpty():
         base.discard(roots)
         roots = graph.components(links.unionByName(more))
@@ -489,7 +505,7 @@ def near_duplicates(docs: DataFrame, uid: str | None = None, similarity: float =
     members = sets.select("uid", "doc_id", "key1", "key2").join(named, ["key1", "key2"]).select("uid", "doc_id", "class_uid")
     members = base.materialize(members, "members")
     heads = base.materialize(members.groupBy("class_uid").agg(F.count("*").alias("class_size"), F.min(F.struct("uid", "doc_id")).alias("head")), "heads")
-    base.discard(sets, nodes, found, pairs, links, rest, more, roots, named)
+    base.discard(sets, nodes, found, pairs, links, more, roots, named)
     out = members.join(heads, "class_uid")
     return out.select("uid", "doc_id", F.col("head.doc_id").alias("class_id"), F.col("head.uid").alias("class_uid"), "class_size", (F.col("uid") == F.col("head.uid")).alias("representative"))
 
