@@ -7,7 +7,7 @@ import pytest
 
 ROOT = Path(__file__).resolve().parent.parent
 SF = "/root/testdata/sf0.001"
-QUICK = ["panel_densify", "runs_zero", "status_summary", "network_events", "duplicate_report", "registry", "contract_report", "text_normalize_key", "calendar_features", "rolling_level_56", "lags_leads", "naive_forecast", "weekday_factor", "cusum_restart_month", "folds", "ground_truth", "reconcile_full_outer", "html_extract"]
+QUICK = ["panel_densify", "runs_zero", "status_summary", "network_events", "duplicate_report", "registry", "contract_report", "text_normalize_key", "calendar_features", "rolling_level_56", "lags_leads", "naive_forecast", "weekday_factor", "cusum_restart_month", "folds", "ground_truth", "reconcile_full_outer", "reconcile_left_only", "stations_with_coords", "kml_stations", "json_resources", "contract_validate", "network_shape", "panel_wide_month", "api_stations", "long_forecast", "event_onsets"]
 
 
 def rows_of(frame):
@@ -64,4 +64,4 @@ def test_joins_with_references_read_whole_tables(spark):
     assert sum(r.n_suppliers or 0 for r in rows) == spark.read.parquet(f"{SF}/supplier.parquet").count()
     homes = {r[0] for r in spark.read.parquet(f"{SF}/customer.parquet").select("c_nationkey").distinct().collect()}
     stations = queries.QUERIES["stations_with_coords"](spark, SF).collect()
-    assert {r.station for r in stations if r.longitude is not None} == homes & {r.station for r in stations}
+    assert {int(r.series_id) for r in stations if r.longitude is not None} == homes & {int(r.series_id) for r in stations}

@@ -77,7 +77,7 @@ def raw(spark, change=None, n=12):
 
 def test_contract(spark):
     report = contract.validate(raw(spark), min_rows=10)
-    assert (report.n_rows, report.n_raw_line_labels, report.n_zero_rows, report.rows_per_year) == (12, 1, 0, {2024: 12})
+    assert (report.n_rows, report.n_raw_line_labels, report.n_zero_rows, report.years) == (12, 1, 0, {2024: 12})
     assert report.zero_share == 0 and "12 rows" in report.summary()
 
     def put(column, value):

@@ -46,8 +46,13 @@ def station_registry(rows: DataFrame, raw_label: str = "estacion") -> DataFrame:
     return by.orderBy(text.line_sort_rank(F.col("line_id")), "line_id", "station_id")
 
 
+def network_shape(rows: DataFrame) -> DataFrame:
+    """One row: numbers of lines, of stations and of pairs of both."""
+    return rows.agg(F.count_distinct("line_id").alias("n_lines"), F.count_distinct("station_id").alias("n_stations"), F.count_distinct(F.struct("line_id", "station_id")).alias("n_pairs"))
+
+
 def assert_network(rows: DataFrame, expected: NetworkShape) -> None:
-    r = rows.agg(F.count_distinct("line_id").alias("n_lines"), F.count_distinct("station_id").alias("n_stations"), F.count_distinct(F.struct("line_id", "station_id")).alias("n_pairs")).first()
+    r = network_shape(rows).first()
     wrong = [f"{k}: expected {getattr(expected, k)}, found {r[k]}" for k in ("n_lines", "n_stations", "n_pairs") if r[k] != getattr(expected, k)]
     if wrong:
         raise CanonicalizationError("; ".join(wrong))

@@ -209,6 +209,7 @@ SELECT r.line_id, r.station_id, any_value(n.name) AS station_name, min(date) AS
     "contract_report": """WITH y AS (SELECT year(l_shipdate) AS y, count(*) AS n FROM lineitem GROUP BY 1)
 SELECT count(*) AS n_rows, CAST(min(l_shipdate) AS DATE) AS date_min, CAST(max(l_shipdate) AS DATE) AS date_max, count(DISTINCT l_linestatus) AS n_raw_line_labels, count(DISTINCT l_returnflag) AS n_raw_station_labels, count(*) FILTER (l_quantity = 0) AS n_zero_rows, count(*) FILTER (l_quantity = 0) / count(*) AS zero_share,
   (SELECT '[' || string_agg('{"y":' || y || ',"n":' || n || '}', ',' ORDER BY y) || ']' FROM y) AS per_year FROM lineitem""",
+    "contract_validate": "SELECT t.*, y.* FROM (SELECT count(*) AS n_rows, CAST(min(o_orderdate) AS DATE) AS date_min, CAST(max(o_orderdate) AS DATE) AS date_max, count(DISTINCT o_orderpriority) AS n_lines, count(DISTINCT o_orderstatus) AS n_stations, count(*) FILTER (o_custkey = 0) AS n_zero_rows FROM orders) t, (SELECT year(o_orderdate) AS year, count(*) AS rows_of_year FROM orders GROUP BY 1) y",
     "network_shape": "SELECT count(DISTINCT o_orderpriority) AS n_lines, count(DISTINCT o_orderstatus) AS n_stations, count(DISTINCT o_orderpriority || ':' || o_orderstatus) AS n_pairs FROM orders",
     "text_strip_accents": "SELECT doc_id, md5(strip_accents(text)) AS plain_md5 FROM documents",
     "text_normalize_key": f"SELECT doc_id, md5({_KEY}) AS key_md5 FROM documents",
@@ -262,22 +263,22 @@ c AS (SELECT series_id, date, n, least(0.0, coalesce(z + 0.5, 0)) AS cusum FROM
     "ground_truth": _w(_DPS, "SELECT series_id, date, status, CAST(CASE WHEN status = 'closed' THEN 1 WHEN status = 'operating' AND ridership = 0 THEN 1 WHEN status = 'operating' THEN 0 END AS BIGINT) AS label FROM dps"),
     "walk_forward_flags": _w(_WALK, "SELECT rate, month, count(*) AS n_rows, count(*) FILTER (is_anomaly) AS n_flags, round(any_value(z_cutoff), 4) AS z_cutoff FROM flags GROUP BY 1, 2"),
     "score_days": _w(_WALK, "SELECT rate, n_days_scored, n_positive_days, true_positives, false_positives, false_negatives, round(precision, 4) AS precision, round(recall, 4) AS recall, round(2 * precision * recall / nullif(precision + recall, 0), 4) AS f1 FROM day"),
-    "event_onsets": _w(_WALK, 'SELECT rate, series_id, start, "end", days, detected FROM onset WHERE days >= 4'),
+    "event_onsets": _w(_WALK, 'SELECT rate, series_id, start, "end", days, detected FROM onset'),
     "operating_curve": _w(
         _WALK + """,
 daily AS (SELECT rate, count(*) FILTER (is_anomaly) / count(DISTINCT date) AS alerts FROM flags GROUP BY 1),
 share AS (SELECT rate, avg(detected::INT) AS a, avg(detected::INT) FILTER (days >= 4) AS b, avg(detected::INT) FILTER (days = 1) AS c FROM onset GROUP BY 1)""",
         "SELECT rate, round(alerts, 4) AS alerts_per_day, round(precision, 4) AS precision, round(recall, 4) AS day_recall, round(2 * precision * recall / nullif(precision + recall, 0), 4) AS f1, round(a, 4) AS onset_recall_all, round(b, 4) AS onset_recall_4d_plus, round(c, 4) AS onset_recall_1d FROM daily JOIN day USING (rate) LEFT JOIN share USING (rate)",
     ),
-    "reconcile_full_outer": """WITH s AS (SELECT CAST(s_nationkey + 2 AS BIGINT) AS key, count(*) AS n_suppliers FROM supplier WHERE s_suppkey % 3 = 0 GROUP BY 1), n AS (SELECT CAST(n_nationkey AS BIGINT) AS key, n_name FROM nation)
+    "reconcile_full_outer": """WITH s AS (SELECT CAST(s_nationkey + 2 AS BIGINT) AS key, count(*) AS n_suppliers FROM supplier GROUP BY 1), n AS (SELECT CAST(n_nationkey AS BIGINT) AS key, n_name FROM nation)
 SELECT key, n_name, n_suppliers, CASE WHEN n_name IS NULL THEN 'right_only' WHEN n_suppliers IS NULL THEN 'left_only' ELSE 'both' END AS side FROM n FULL JOIN s USING (key)""",
-    "reconcile_left_only": "SELECT CAST(n_nationkey AS BIGINT) AS key, n_name FROM nation WHERE n_nationkey NOT IN (SELECT s_nationkey + 2 FROM supplier WHERE s_suppkey % 3 = 0)",
+    "reconcile_left_only": "SELECT CAST(n_nationkey AS BIGINT) AS key, n_name FROM nation WHERE n_nationkey NOT IN (SELECT s_nationkey + 2 FROM supplier)",
     "alias_apply": "SELECT CAST(n_regionkey AS VARCHAR) AS line_id, CASE WHEN n_name = 'CHINA' THEN r_name ELSE n_name END AS station_id FROM nation JOIN region ON r_regionkey = n_regionkey",
-    "stations_with_coords": "SELECT CAST(n_nationkey AS BIGINT) AS station, n_name, min(c_acctbal) AS longitude, max(c_acctbal) AS latitude FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey AND n_nationkey % 5 <> 0 GROUP BY 1, 2",
-    "html_extract": """SELECT page_id, generate_subscripts(l, 1) - 1 AS pos, unnest(l) AS link FROM (SELECT page_id, regexp_extract_all(html, '<a href="([^"]*)">', 1) AS l FROM pages)""",
-    "json_resources": "SELECT event_id, props ->> '$.k' AS k FROM events",
+    "stations_with_coords": "SELECT CAST(n_nationkey AS VARCHAR) AS series_id, CAST(n_regionkey AS VARCHAR) AS line_id, n_name AS station_id, lower(n_name) AS station_name, min(c_acctbal) AS longitude, max(c_acctbal) AS latitude FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY 1, 2, 3, 4",
+    "kml_stations": "SELECT CAST(n_regionkey + 1 AS VARCHAR) AS line_id, regexp_replace(lower(n_name), '[^a-z0-9]+', '-', 'g') AS station_id, n_name AS station_name, CAST('-' || n_nationkey || '.5' AS DOUBLE) AS longitude, n_nationkey + 0.25::DOUBLE AS latitude FROM nation",
+    "json_resources": "SELECT CAST(n_nationkey AS VARCHAR) AS id, n_name AS name, 'https://data.example/' || n_nationkey AS url, 'CSV' AS format, CASE WHEN n_nationkey > 9 THEN '2021-01-01' ELSE '2020-01-01' END AS last_modified FROM nation",
     "api_forecast_filter": _w(_DP + ",\nl AS (SELECT max(date) AS last FROM dp)", "SELECT f.series_id, CAST(last + CAST(h AS INTEGER) AS DATE) AS date, h AS horizon, f.value AS prediction FROM l CROSS JOIN (SELECT 7 AS h) JOIN dp f ON f.date = last + CAST(h - 7 AS INTEGER) WHERE f.line_id = 'O'"),
     "api_anomalies_latest": _w(_flagged(["0.01"]), "SELECT series_id, date, round(z, 4) AS score, CASE WHEN extreme THEN 'extreme day' ELSE 'sustained shortfall' END AS reason FROM flags WHERE extreme OR drifted"),
     "api_stations": "SELECT DISTINCT o_orderpriority AS line_id, o_orderstatus AS station_id, o_orderpriority || ':' || o_orderstatus AS series_id FROM orders WHERE o_orderpriority = '1-URGENT'",
-    "long_forecast": _w(_DP + ",\n" + _seasonal("dp", "series_id", "value", "s") + ",\nfut AS (SELECT series_id, CAST(last_date + CAST(h AS INTEGER) AS DATE) AS date, h AS horizon FROM s_c CROSS JOIN (SELECT unnest(range(1, 15)) AS h)),\n" + _expected("fut", "series_id", "s", "x"), "SELECT date, horizon, series_id, split_part(series_id, ':', 1) AS line_id, split_part(series_id, ':', 2) AS station_id, CAST(round_even(expected, 0) AS BIGINT) AS prediction FROM x"),
+    "long_forecast": _w(_DP + ",\n" + _seasonal("dp", "series_id", "value", "s") + ",\nfut AS (SELECT series_id, CAST(last_date + CAST(h AS INTEGER) AS DATE) AS date, h AS horizon FROM s_c CROSS JOIN (SELECT unnest(range(1, 15)) AS h)),\n" + _expected("fut", "series_id", "s", "x"), "SELECT date, horizon, series_id, split_part(series_id, ':', 1) AS line_id, split_part(series_id, ':', 2) AS station_id, 'station ' || split_part(series_id, ':', 2) AS station_name, CAST(round_even(expected, 0) AS BIGINT) AS prediction FROM x"),
 }

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..config import NetworkShape
 from ..functions.text import split_series_id
+from ..operators.boosting import Boosted
 from ..operators.canonical import assert_network, canonicalize, mark_duplicates, station_registry
 from ..operators.detector import Detector
 from ..operators.islands import interruptions, network_events, service_status, with_target
@@ -64,11 +65,10 @@ def train(panel: DataFrame, forecaster, folder: str, horizon: int = 14, coordina
     """Fit the forecaster and the detector and write the serving tables and, where there is one to
     keep, the model; returns the metadata."""
     rows = with_series(panel)
-    if hasattr(forecaster, "feature_importance"):
-        predictions = forecaster.fit(rows, "target").predict(rows, horizon, "target")
-        forecaster.save(f"{folder}/model")
-    else:
-        predictions = forecaster.predict(forecaster.fit(rows, value="target"), horizon)
+    fitted = forecaster.fit(rows, value="target")
+    predictions = forecaster.predict(fitted, horizon)
+    if isinstance(fitted, Boosted):
+        fitted.save(f"{folder}/model")
     long_forecast(predictions, station_names(panel)).write.mode("overwrite").parquet(f"{folder}/forecast")
     feed, cuts = recent_anomalies(panel)
     feed.write.mode("overwrite").parquet(f"{folder}/anomalies")

@@ -13,7 +13,10 @@ from .operators import canonical, contract, evaluation, features, islands
 from .operators.boosting import GradientBoosting
 from .operators.detector import Detector, mad, restart_cusum_fold, with_cusum, with_restart_cusum
 from .operators.forecast import HierarchicalSeasonal, SeasonalNaive
+from .operators.panel import to_wide
+from .plans import build, serving
 from .plans.panels import closed_panel, events_panel, events_rows, orders_panel, orders_status, shipments_panel, table
+from .sources import catalog, geometry
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -47,8 +50,8 @@ def panel_rectangular(spark, d):
 
 @query
 def panel_wide_month(spark, d):
-    months = shipments_panel(spark, d).withColumn("month", F.trunc("date", "MM"))
-    return months.groupBy("month").pivot("line_id", ["F", "O"]).agg(F.sum("value")).select("month", F.col("F").alias("f_total"), F.col("O").alias("o_total"))
+    months = shipments_panel(spark, d).groupBy(F.trunc("date", "MM").alias("date"), F.col("line_id").alias("series_id")).agg(F.sum("value").alias("value"))
+    return to_wide(months, "value", ["F", "O"]).select(F.col("date").alias("month"), F.col("F").alias("f_total"), F.col("O").alias("o_total"))
 
 
 # Runs and status
@@ -111,7 +114,14 @@ def contract_report(spark, d):
 
 @query
 def network_shape(spark, d):
-    return orders_panel(spark, d).agg(F.count_distinct("line_id").alias("n_lines"), F.count_distinct("station_id").alias("n_stations"), F.count_distinct(F.struct("line_id", "station_id")).alias("n_pairs"))
+    return canonical.network_shape(orders_panel(spark, d))
+
+
+@query
+def contract_validate(spark, d):
+    rows = table(spark, d, "orders").select(F.date_format("o_orderdate", "yyyy-MM-dd").alias("fecha"), F.year("o_orderdate").alias("anio"), F.date_format("o_orderdate", "MM").alias("mes"), F.col("o_orderpriority").alias("linea"), F.col("o_orderstatus").alias("estacion"), F.col("o_custkey").cast("long").alias("afluencia"))
+    found = contract.validate(rows, min_rows=1)
+    return spark.createDataFrame([(found.n_rows, found.date_min, found.date_max, found.n_raw_line_labels, found.n_raw_station_labels, found.n_zero_rows, year, n) for year, n in found.years.items()], "n_rows long, date_min date, date_max date, n_lines long, n_stations long, n_zero_rows long, year long, rows_of_year long")
 
 
 # Text
@@ -437,24 +447,30 @@ def alias_apply(spark, d):
 
 @query
 def stations_with_coords(spark, d):
-    stations = table(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("station"), "n_name")
-    coords = table(spark, d, "customer").groupBy(F.col("c_nationkey").cast("long").alias("station")).agg(F.min("c_acctbal").alias("longitude"), F.max("c_acctbal").alias("latitude"))
-    return stations.join(coords, "station", "left").orderBy("station")
+    key = lambda c: F.col(c).cast("string")
+    stations = table(spark, d, "nation").select(key("n_nationkey").alias("series_id"), key("n_regionkey").alias("line_id"), F.col("n_name").alias("station_id"), F.lower("n_name").alias("station_name"))
+    coords = table(spark, d, "customer").groupBy(key("c_nationkey").alias("series_id")).agg(F.min("c_acctbal").alias("longitude"), F.max("c_acctbal").alias("latitude"))
+    return serving.Store(stations, stations, coords, stations).stations()
 
 
 # Sources in the shape of records
 
 @query
-def html_extract(spark, d):
-    pages = table(spark, d, "pages")
-    rows = pages.select("page_id", F.posexplode(F.expr(r"""regexp_extract_all(html, '<a href="([^"]*)">', 1)""")).alias("pos", "link"))
-    return rows.select("page_id", F.col("pos").cast("long").alias("pos"), "link")
+def kml_stations(spark, d):
+    """Placemarks as the stations' archive has them, a document per region, through the parser."""
+    cell = lambda name, c: F.concat(F.lit(f"<tr><td>{name}</td> <td>"), c, F.lit("</td></tr>"))
+    mark = F.concat(F.lit("<Placemark><description><table>"), cell("NOMBRE", F.col("n_name")), cell("LINEA", F.concat(F.lit("0"), (F.col("n_regionkey") + 1).cast("string"))), F.lit("</table></description><Point><coordinates> -"), F.col("n_nationkey").cast("string"), F.lit(".5,"), F.col("n_nationkey").cast("string"), F.lit(".25,0</coordinates></Point></Placemark>"))
+    kml = table(spark, d, "nation").groupBy("n_regionkey").agg(F.concat(F.lit("<kml><Document>"), F.array_join(F.collect_list(mark), "\n"), F.lit("</Document></kml>")).alias("kml"))
+    return geometry.parse_stations(kml).select("line_id", "station_id", "station_name", "longitude", "latitude")
 
 
 @query
 def json_resources(spark, d):
-    events = table(spark, d, "events")
-    return events.select("event_id", F.get_json_object("props", "$.k").alias("k"))
+    """The nations, 25 rows, as the resources of a package document, through the catalogue's reader."""
+    text_of = lambda c: F.col(c).cast("string")
+    each = F.struct(text_of("n_nationkey").alias("id"), F.col("n_name").alias("name"), F.concat(F.lit("https://data.example/"), text_of("n_nationkey")).alias("url"), F.lit("csv").alias("format"), F.lit("2020-01-01").alias("created"), F.when(F.col("n_nationkey") > 9, F.lit("2021-01-01")).alias("last_modified"))
+    body = table(spark, d, "nation").agg(F.to_json(F.struct(F.lit(True).alias("success"), F.struct(F.collect_list(each).alias("resources")).alias("result"))).alias("b")).first()["b"]
+    return catalog.list_resources(spark, body).select("id", "name", "url", "format", "last_modified")
 
 
 # Serving
@@ -464,35 +480,31 @@ def api_forecast_filter(spark, d):
     m = SeasonalNaive()
     panel = shipments_panel(spark, d)
     rows = m.predict(m.fit(panel), 14).withColumn("line_id", F.split("series_id", ":")[0])
-    from .plans.serving import filter_forecast
-
-    return filter_forecast(rows, line="o", horizon=7).select("series_id", "date", F.col("horizon").cast("long").alias("horizon"), "prediction")
+    return serving.filter_forecast(rows, line="o", horizon=7).select("series_id", "date", F.col("horizon").cast("long").alias("horizon"), "prediction")
 
 
 @query
 def api_anomalies_latest(spark, d):
-    from .plans.serving import filter_anomalies
-
     rows = _flagged(spark, d).withColumn("score", F.col("z"))
-    return filter_anomalies(rows, flagged_only=True).select("series_id", "date", r("score"), "reason")
+    return serving.filter_anomalies(rows, flagged_only=True).select("series_id", "date", r("score"), "reason")
 
 
 @query
 def api_stations(spark, d):
     rows = orders_panel(spark, d).select("line_id", "station_id", "series_id").distinct()
-    return rows.filter(F.col("line_id") == "1-URGENT").orderBy("line_id", "station_id")
+    return serving.filter_stations(rows, line="1-urgent").orderBy("line_id", "station_id")
 
 
 @query
 def long_forecast(spark, d):
-    m = HierarchicalSeasonal()
-    rows = m.predict(m.fit(shipments_panel(spark, d)), 14)
-    line, station = text.split_series_id(F.col("series_id"))
-    return rows.select("date", F.col("horizon").cast("long").alias("horizon"), "series_id", line.alias("line_id"), station.alias("station_id"), F.bround("prediction").cast("long").alias("prediction"))
+    m, panel = HierarchicalSeasonal(), shipments_panel(spark, d)
+    names = build.station_names(panel.withColumn("station_name", F.concat(F.lit("station "), "station_id")))
+    rows = build.long_forecast(m.predict(m.fit(panel), 14), names)
+    return rows.withColumn("horizon", F.col("horizon").cast("long"))
 
 
 @query
 def gbt_forecast(spark, d):
-    panel = shipments_panel(spark, d)
-    model = GradientBoosting().fit(panel)
-    return model.predict(panel, model.horizons).select("series_id", "date", F.col("horizon").cast("long").alias("horizon"), r("prediction"))
+    model = GradientBoosting()
+    rows = model.predict(model.fit(shipments_panel(spark, d)), model.horizons)
+    return rows.select("series_id", "date", F.col("horizon").cast("long").alias("horizon"), r("prediction"))
