@@ -290,6 +290,23 @@ def test_warc_round_trip(spark, pages, no_pages):
     assert warc.read_warc(spark, path, [f["file"] for f in warc.write_warc(no_pages, path)]).collect() == []
 
 
+@pytest.mark.parametrize("hot_share", [0.0, 0.4, 1.0])
+def test_warc_groups_hot_and_cold(spark, hot_share):
+    """Large and small groups of equal payloads; those under the least size are all responses."""
+    bodies = ["same " * 20] * 40 + ["other"] * 3 + ["x" * i for i in range(10)] + [None, ""]
+    df = spark.createDataFrame([(i, "u", t) for i, t in enumerate(bodies)], "page_id long, url string, html string").repartition(4)
+    for least in (0, 50):
+        path = base.scratch_path(spark, "warc")
+        files = warc.write_warc(df, path, min_bytes=least, hot_share=hot_share)
+        last = {t or "": i for i, t in enumerate(bodies)}
+        rows = warc.read_warc(spark, path, [f["file"] for f in files if f["records"]], ("page_id", "record_type", "refers_to")).collect()
+        assert len(rows) == len(bodies)
+        for r in rows:
+            body = bodies[r.page_id] or ""
+            first = last[body] if len(body) >= least else r.page_id
+            assert (r.record_type, r.refers_to) == (("response", None) if first == r.page_id else ("revisit", first))
+
+
 def test_warc_reader_is_incremental_and_strict():
     data = b"".join(warc.encode_record("response", f"urn:page:{i}:{i}", f"http://x/{i}", "2000-01-01T00:00:00Z", b"<p>%d" % i * (i * 50), None) for i in range(20))
     for chunk in (1, 7, 1 << 16):

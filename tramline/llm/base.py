@@ -139,11 +139,14 @@ def with_uid(docs: DataFrame, name: str = "_uid") -> DataFrame:
     what isn't a plain scan of files, and may be dealt anew each time, is written first.
     """
     spark = docs.sparkSession
-    if not _steady(docs):
+    written = not _steady(docs)
+    if written:
         docs = materialize(docs, "rows")
     if spark.conf.get(SPLITS, None) is None:
         spark.conf.set(SPLITS, str(spark.sparkContext.defaultParallelism))
-    return docs.withColumn(name, F.monotonically_increasing_id())
+    out = docs.withColumn(name, F.monotonically_increasing_id())
+    out._tramline_path = getattr(docs, "_tramline_path", None) if written else None
+    return out
 
 
 def id_fold(col: Column, modulus: int) -> Column:

@@ -161,7 +161,11 @@ def exact_duplicates(docs: DataFrame, uid: str | None = None, **how) -> DataFram
 
 
 def drop_duplicates(docs: DataFrame, **how) -> DataFrame:
-    """``docs`` without the rows whose text is a copy of one that stays; all its columns."""
+    """``docs`` without the rows whose text is a copy of one that stays; all its columns.
+
+    Nulls, empty texts, ties and repeated rows are handled as in ``exact_duplicates``; an empty
+    table stays empty, and columns may have any names.
+    """
     uid = base.free_name(docs.columns)
     tagged = base.with_uid(docs, uid)
     gone = exact_duplicates(tagged, uid, **how).filter(~F.col("kept")).select(F.col("uid").alias(uid))

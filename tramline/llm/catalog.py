@@ -85,6 +85,22 @@ def op8_sequential_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_warc(spark, path, [f["file"] for f in files if f["records"]], ("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"))
 
 
+OP8_SQL = r"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS body, row_number() OVER () AS n FROM pages),
+d AS (
+  SELECT page_id, strlen(body) AS payload_bytes, sha1(body) AS hex,
+         row_number() OVER (PARTITION BY body ORDER BY page_id DESC NULLS LAST, n DESC) AS place,
+         first_value(page_id) OVER (PARTITION BY body ORDER BY page_id DESC NULLS LAST, n DESC) AS first
+  FROM p)
+SELECT page_id, payload_bytes,
+       array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+         CAST(1 + (CAST('0x' || substr(hex, 1 + 5 * (i // 4), 5) AS BIGINT) // (1::BIGINT << (15 - 5 * (i % 4)))) % 32 AS BIGINT), 1) FOR i IN range(32)], '') AS payload_digest,
+       CASE WHEN place = 1 THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN place > 1 THEN first END AS refers_to
+FROM d
+"""
+
+
 def op9_deleted_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return interpolation.score(_table(spark, sf_dir, "documents"))
 
@@ -109,4 +125,5 @@ QUERIES = {
 ORACLE_SQL = {
     "op4_digest_filter": OP4_SQL,
     "op5_block_naming": OP5_SQL,
+    "op8_sequential_warc": OP8_SQL,
 }

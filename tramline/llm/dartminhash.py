@@ -505,7 +505,7 @@ def near_duplicates(docs: DataFrame, uid: str | None = None, similarity: float =
     members = sets.select("uid", "doc_id", "key1", "key2").join(named, ["key1", "key2"]).select("uid", "doc_id", "class_uid")
     members = base.materialize(members, "members")
     heads = base.materialize(members.groupBy("class_uid").agg(F.count("*").alias("class_size"), F.min(F.struct("uid", "doc_id")).alias("head")), "heads")
-    base.discard(sets, nodes, found, pairs, links, more, roots, named)
+    base.discard(sets, nodes, found, pairs, links, more, roots, named, *([] if uid else [narrow]))
     out = members.join(heads, "class_uid")
     return out.select("uid", "doc_id", F.col("head.doc_id").alias("class_id"), F.col("head.uid").alias("class_uid"), "class_size", (F.col("uid") == F.col("head.uid")).alias("representative"))
 

@@ -16,6 +16,7 @@ from collections.abc import Iterator
 
 import ahocorasick
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -137,11 +138,12 @@ class Matcher:
 _MATCHERS: dict[tuple, Matcher] = {}
 
 
-def _matcher(items: tuple, error_rate: float) -> Matcher:
-    key = (items, error_rate)
+def _matcher(items: Broadcast, error_rate: float) -> Matcher:
+    """The matcher of this worker process for a block of items, kept between tasks."""
+    key = (items.value, error_rate)
     if key not in _MATCHERS:
         _MATCHERS.clear()
-        _MATCHERS[key] = Matcher(list(items), error_rate)
+        _MATCHERS[key] = Matcher(list(items.value), error_rate)
     return _MATCHERS[key]
 
 
@@ -164,11 +166,11 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, error_rate: float = ERROR_
     row; columns other than doc_id and text are not read.
     """
     base.ship_package(docs.sparkSession)
-    narrow = docs.select(F.monotonically_increasing_id().alias("_uid"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    narrow = base.with_uid(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")))
     out = docs.sparkSession.createDataFrame([], MATCH)
     for items in item_blocks(benchmark, block_chars):
 
-        def run(batches: Iterator[pa.RecordBatch], items=items) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], items=docs.sparkSession.sparkContext.broadcast(items)) -> Iterator[pa.RecordBatch]:
             matcher = _matcher(items, error_rate)
             for b in batches:
                 rows = []
@@ -184,11 +186,16 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, error_rate: float = ERROR_
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, error_rate: float = ERROR_RATE, block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """``docs`` without the rows that hold an item; all columns stay and no row moves."""
+    """``docs`` without the rows that hold an item; all columns stay and no row moves.
+
+    Null and empty texts hold nothing and stay, null and blank items are held by nothing, repeated
+    rows are each judged, and an empty table of either kind changes nothing. Only the column text
+    is read, whatever others are called.
+    """
     base.ship_package(docs.sparkSession)
     for items in item_blocks(benchmark, block_chars):
 
-        def run(batches: Iterator[pa.RecordBatch], items=items) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], items=docs.sparkSession.sparkContext.broadcast(items)) -> Iterator[pa.RecordBatch]:
             matcher = _matcher(items, error_rate)
             for b in batches:
                 clean = [not matcher.search(normalize(t.as_py())) for t in b.column("text")]

@@ -2,8 +2,9 @@
 
 Writing. Pages with equal payloads become one response (the largest page_id) and revisits
 that refer to it. Groups are found by digest and size with partial aggregates; only groups of
-two and more are sent back to the pages, over salted keys, so that a payload that a third of
-all pages share is spread over tasks. Pages are written where they end up, one file per task.
+two and more are sent back to the pages. The few thousand largest at most go to every task, so
+that a payload that a third of all pages share moves nothing; the rest meet their pages in a
+join. Pages are written where they end up, one file per task.
 
 Reading. A file is read from its start to its end: compressed bytes in small chunks, through
 one incremental decompressor per member, with the block framed by its content length. Block
@@ -26,7 +27,8 @@ from pyspark.sql import functions as F
 from . import base
 
 CHUNK = 1 << 16
-SALTS = 32
+#: Share of all copies from which a group of equal payloads is hot.
+HOT_SHARE = 1 / 4096
 LEVEL = 4
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -167,12 +169,13 @@ def _write_task(path: str, date: str):
     return run
 
 
-def write_warc(pages: DataFrame, path: str, min_bytes: int = 0, date: str = "2000-01-01T00:00:00Z", salts: int = SALTS) -> list[dict]:
+def write_warc(pages: DataFrame, path: str, min_bytes: int = 0, date: str = "2000-01-01T00:00:00Z", hot_share: float = HOT_SHARE) -> list[dict]:
     """Write a record per row of ``pages`` and return the list of files.
 
     Of rows with equal payloads of at least ``min_bytes`` bytes, the one with the largest
-    page_id (nulls are smallest; of repeated rows the last) is the response. Null html is an
-    empty payload; a null url leaves its header out. Other columns are not read.
+    page_id (nulls are smallest; of repeated rows the last) is the response; rows with smaller
+    payloads are all responses. Null html is an empty payload; a null url leaves its header out;
+    an empty table writes no records. Other columns, whatever their names, are not read.
     """
     spark = pages.sparkSession
     base.ship_package(spark)
@@ -180,16 +183,22 @@ def write_warc(pages: DataFrame, path: str, min_bytes: int = 0, date: str = "200
     rows = rows.withColumn("_digest", F.sha1(F.col("html").cast("binary"))).withColumn("_bytes", F.octet_length("html"))
     shared = rows.filter(F.col("_bytes") >= min_bytes).groupBy("_digest", "_bytes").agg(F.max(F.struct("page_id", "_uid")).alias("first"), F.count("*").alias("n")).filter("n > 1")
     # A written table: its size is known when the join is planned, and both joins below read it.
-    shared = base.materialize(shared.select("_digest", "_bytes", F.col("first.page_id").alias("first_id"), F.col("first._uid").alias("first_uid")), "payloads")
-    salted = shared.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    rows = rows.withColumn("_salt", F.pmod(F.xxhash64("_uid"), F.lit(salts)).cast("int"))
-    joined = rows.join(salted, ["_digest", "_bytes", "_salt"], "left").select("page_id", "_uid", "url", "html", "first_id", "first_uid")
+    shared = base.materialize(shared.select("_digest", "_bytes", "n", F.col("first.page_id").alias("first_id"), F.col("first._uid").alias("first_uid")), "payloads")
+    many = hot_share * (shared.agg(F.sum("n")).first()[0] or 0)
+    # Groups of more than a share of all copies are at most 1 / share: few enough for each task.
+    hot = shared.filter(F.col("n") > many).select("_digest", "_bytes", F.col("first_id").alias("hot_id"), F.col("first_uid").alias("hot_uid"))
+    cold = shared.filter(F.col("n") <= many).drop("n").withColumnRenamed("_digest", "_key")
+    rows = rows.join(F.broadcast(hot), ["_digest", "_bytes"], "left")
+    # Rows of hot groups have their answer; a key of their own spreads them over the second join.
+    rows = rows.withColumn("_key", F.when(F.col("hot_uid").isNull(), F.col("_digest")).otherwise(F.col("_uid").cast("string")))
+    joined = rows.join(cold, ["_key", "_bytes"], "left").select("page_id", "_uid", "url", "html", F.coalesce("hot_id", "first_id").alias("first_id"), F.coalesce("hot_uid", "first_uid").alias("first_uid"))
     before = spark.conf.get(base.CLEANUP, "false")
     spark.conf.set(base.CLEANUP, "true")
     try:
         files = joined.mapInArrow(_write_task(path, date), "file string, records long, bytes long").collect()  # one small row per file
     finally:
         spark.conf.set(base.CLEANUP, before)
+    base.discard(shared)
     return [r.asDict() for r in files]
 
 
