@@ -49,8 +49,6 @@ ROWS = 5
 DEEP = 32
 #: Documents of a block.
 BLOCK = 96
-#: Others of its block that a document is compared with besides those that the tree gives it.
-NEIGHBOURS = 3
 #: Share of agreeing bytes, of ``DEEP``, under which the first pass leaves a pair to the second.
 HOPELESS = 0.45
 #: Documents, and elements of their sets, of a block of the second pass.
@@ -225,8 +223,7 @@ def _element_task(words: int):
 
 
 def tree(codes: np.ndarray, sizes: np.ndarray, similarity: float) -> list[tuple[int, int]]:
-    """Pairs of a block: a tree (or several) of the pairs that agree on most bytes, and for each
-    row its nearest others, so that a document at the edge of a large group meets more than one."""
+    """Pairs of a block: a tree (or several) of the pairs that agree on most bytes. What they miss is the second pass's."""
     m = len(codes)
     if m == 2:
         low, high = sorted((int(sizes[0]), int(sizes[1])))
@@ -246,9 +243,6 @@ def tree(codes: np.ndarray, sizes: np.ndarray, similarity: float) -> list[tuple[
         best[i] = -np.inf
         closer = (alike[i] > best) & np.isfinite(best)
         best[closer], via[closer] = alike[i][closer], i
-    near = np.argpartition(-alike, min(NEIGHBOURS, m - 1) - 1, axis=1)[:, :NEIGHBOURS]
-    for i, others in enumerate(near):
-        out += [(i, int(j)) for j in others if alike[i, j] > 0]
     return out
 
 
