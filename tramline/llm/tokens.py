@@ -117,24 +117,31 @@ class Encoder:
         packed = self.packed
         return b"".join([packed[i] for i in ids])
 
+    def _piece(self, piece: str) -> bytes:
+        """The ids of one piece of the pre-tokenisation."""
+        shown = piece.encode().decode("latin-1").translate(self.alphabet)
+        return self._pack([t.id for t in self.model.tokenize(shown)])
+
     def _encode_chunk(self, chunk: str) -> bytes:
-        if chunk.isascii():
-            # Letters alone, after a space if there is one, are one piece.
-            if self.kind == "word" and chunk.isalpha():
-                return self._pack([t.id for t in self.model.tokenize(chunk.lower())])
-            if self.kind == "byte" and chunk[1:].isalpha() and (chunk[0] == " " or chunk[0].isalpha()):
-                shown = self.alphabet[32] + chunk[1:] if chunk[0] == " " else chunk
-                return self._pack([t.id for t in self.model.tokenize(shown)])
-        elif max(chunk) >= PLAIN_BELOW:
+        if not chunk.isascii() and max(chunk) >= PLAIN_BELOW:
             return self._pack(self.direct(chunk))
+        # Letters alone, after a space if there is one, are one piece.
+        if self.kind == "word":
+            chunk = chunk.lower()
+            if chunk.isalpha():
+                return self._piece(chunk)
+        elif chunk[1:].isalpha() and (chunk[0] == " " or chunk[0].isalpha()):
+            return self._piece(chunk)
         out = []
-        for piece in self.find(chunk if self.kind == "byte" else chunk.lower()):
-            got = self.pieces.get(piece)
-            if got is None:
-                shown = piece.encode().decode("latin-1").translate(self.alphabet)
-                got = self._pack([t.id for t in self.model.tokenize(shown)])
-                if len(piece) < 4:
-                    self.pieces[piece] = got
+        for piece in self.find(chunk):
+            if len(piece) < 4:
+                got = self.pieces.get(piece)
+                if got is None:
+                    got = self.pieces[piece] = self._piece(piece)
+            elif piece[1:].isalpha() and (piece[0] == " " or piece[0].isalpha()):
+                got = self.cache.get(piece) or self._piece(piece)  # a word beside punctuation may be a chunk of its own
+            else:
+                got = self._piece(piece)
             out.append(got)
         return b"".join(out)
 
