@@ -251,3 +251,21 @@ def test_packed_integers():
     for a in (np.zeros(0, np.uint64), np.array([1, 300, 2**40], np.uint64), np.array([7], np.uint64)):
         assert interpolation.unpack(interpolation.pack(a), np.uint64).tolist() == a.tolist()
         assert interpolation.unpack_sorted(interpolation.pack_sorted(a)).tolist() == a.tolist()
+
+
+@pytest.mark.parametrize("bits", [0, 8, 12, 16, 24])
+def test_rows_asked_stay_within_the_keys_of_a_block(bits):
+    """However fine the buckets: one row per bucket that holds a key, all keys and counts in them."""
+    block = interpolation._Block()
+    for i in range(40):
+        block.add(i, [b"w%d" % (j * j % 997) for j in range(i * 10)])
+    batch = block.row(3, interpolation.TRAIN)
+    _, keys, _, counts = interpolation._unique(batch.to_pylist()[0], 2)
+    rows = [r for b in interpolation._ask_task(2, bits)(iter([batch])) for r in b.to_pylist()]
+    assert len(rows) <= min(2 << bits, sum(map(len, keys)))
+    for kind in (0, 1):
+        mine = sorted((r for r in rows if r["kind"] == kind), key=lambda r: r["bucket"])
+        parts = [interpolation.unpack_sorted(r["keys"]) for r in mine]
+        assert np.array_equal(np.concatenate(parts), keys[kind])
+        assert np.array_equal(np.concatenate([interpolation.unpack(r["counts"], np.uint32) for r in mine]), counts[kind])
+        assert all(int(k) >> (64 - bits) == r["bucket"] for r, p in zip(mine, parts) for k in p)

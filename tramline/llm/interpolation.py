@@ -168,16 +168,20 @@ _ASK = "bucket int, kind int, block long, cls int, keys binary, counts binary"
 
 
 def _ask_task(order: int, bits: int):
+    """Rows of one block, kind and bucket that holds a key of the block: never more than it has distinct keys,
+    however fine the buckets, so that rows and work grow with the tokens and not with blocks times buckets."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        edges = (np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(64 - bits)) if bits else np.zeros(0, np.uint64)
         for b in batches:
             for row in range(b.num_rows):
                 block = b.slice(row, 1).to_pylist()[0]
                 _, keys, _, counts = _unique(block, order)
                 out = []
                 for kind, (k, c) in enumerate(zip(keys, counts)):
-                    cuts = [0, *np.searchsorted(k, edges), len(k)]
-                    out += [(i, kind, block["block"], block["cls"], pack_sorted(k[a:z]), pack(c[a:z].astype(np.uint32))) for i, (a, z) in enumerate(zip(cuts, cuts[1:])) if z > a]
+                    buckets, starts = np.unique(k >> np.uint64(64 - bits) if bits else np.zeros(len(k), np.uint64), return_index=True)
+                    ends = [*starts[1:].tolist(), len(k)]
+                    c = c.astype(np.uint32)
+                    out += [(i, kind, block["block"], block["cls"], pack_sorted(k[a:z]), pack(c[a:z])) for i, a, z in zip(buckets.tolist(), starts.tolist(), ends)]
                 yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*out), (pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary()))], names=["bucket", "kind", "block", "cls", "keys", "counts"])
 
     return run
