@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..scratch import written_once
 from .features import median
 from .forecast import BY, HierarchicalSeasonal
+from .quantiles import pooled_quantiles
 
 #: From MAD to a standard deviation, and cut-offs where nothing can be calibrated.
 MAD_TO_SIGMA = 1.4826
@@ -70,13 +72,16 @@ def with_restart_cusum(df: DataFrame, reset: str, z: str = "z", by: tuple[str, .
     return ordered.mapInArrow(run, schema)
 
 
-def restart_cusum_fold(df: DataFrame, reset: Column, z: str = "z", by: tuple[str, ...] = BY, drift: float = 0.5) -> DataFrame:
-    """The same in SQL functions alone, for short frames such as a month: keys, date, cusum."""
-    steps = df.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("date", F.col(z).alias("z")))).alias("s"), F.max(reset).alias("limit"))
-    fold = F.expr(f"""aggregate(s, named_struct('state', 0D, 'out', cast(array() as array<struct<date: date, cusum: double>>)), (a, x) -> named_struct(
-        'state', if(least(0D, a.state + coalesce(x.z + {drift}D, 0D)) <= -limit, 0D, least(0D, a.state + coalesce(x.z + {drift}D, 0D))),
-        'out', array_append(a.out, named_struct('date', x.date, 'cusum', least(0D, a.state + coalesce(x.z + {drift}D, 0D))))), a -> a.out)""")
-    return steps.select(*by, F.inline(fold))
+def restart_cusum_fold(df: DataFrame, reset: Column, z: str = "z", by: tuple[str, ...] = BY, drift: float = 0.5, out: str = "cusum") -> DataFrame:
+    """The same in SQL functions alone, for series that their frame keeps short, such as a month."""
+    rest = [c for c in df.columns if c not in (*by, "date")]
+    days = F.array_sort(F.collect_list(F.struct("date", *rest)))
+    steps = df.groupBy(*by).agg(days.alias("_days"), F.max(reset).alias("_limit"))
+    before = "try_element_at(a, -1)"
+    steps = steps.withColumn("_sums", F.expr(f"""aggregate(_days, cast(array() as array<double>), (a, x) ->
+        array_append(a, least(0D, if({before} <= -_limit, 0D, coalesce({before}, 0D)) + coalesce(x.`{z}` + {drift}D, 0D))))"""))
+    rows = steps.select(*by, F.explode(F.arrays_zip("_days", "_sums")).alias("_r"))
+    return rows.select(*by, "_r._days.*", F.col("_r._sums").alias(out)).select(*df.columns, out)
 
 
 @dataclass(frozen=True)
@@ -97,9 +102,12 @@ class Detector:
         return (*self.frame, "series_id")
 
     def calibrated(self, operating: DataFrame, value: str = "value") -> tuple[DataFrame, DataFrame]:
-        """Parameters per series, and the calibration days with their scores and plain CUSUM."""
+        """Parameters per series, and the calibration days with their scores and plain CUSUM.
+
+        Both are computed here, like any fit, and written once for all that read them.
+        """
         model = HierarchicalSeasonal()
-        params = model.fit(operating, self.by, value)
+        params = written_once(model.fit(operating, self.by, value), "params")
         ends = operating.groupBy(*self.frame).agg(F.max("date").alias("_end")) if self.frame else operating.agg(F.max("date").alias("_end"))
         recent = operating.join(ends, list(self.frame)) if self.frame else operating.crossJoin(F.broadcast(ends))
         recent = recent.filter(F.col("date") > F.date_sub("_end", self.calibration_days))
@@ -108,32 +116,40 @@ class Detector:
         residual = residual.withColumn("center", median(F.col("_r")).over(whole))
         residual = residual.withColumn("_sigma", median(F.abs(F.col("_r") - F.col("center"))).over(whole) * MAD_TO_SIGMA)
         residual = residual.withColumn("scale", F.when(F.col("_sigma") > self.min_scale, F.col("_sigma"))).withColumn("z", (F.col("_r") - F.col("center")) / F.col("scale"))
-        spread = residual.groupBy(*self.by).agg(F.first("center").alias("center"), F.first("scale").alias("scale"))
-        scored = with_cusum(residual.select(*self.by, "date", "z"), by=self.by, drift=self.drift)
-        return params.join(spread, list(self.by)), scored
+        scored = written_once(with_cusum(residual.select(*self.by, "date", "center", "scale", "z"), by=self.by, drift=self.drift), "scored")
+        spread = scored.groupBy(*self.by).agg(F.first("center").alias("center"), F.first("scale").alias("scale"))
+        return params.join(spread, list(self.by)), scored.drop("center", "scale")
 
     def cutoffs(self, scored: DataFrame) -> DataFrame:
         """Per fit and rate, both cut-offs: the pooled quantile, never under 1."""
-        rates = F.array(*(F.lit(r) for r in self.rates))
-        q = scored.groupBy(*self.frame).agg(F.percentile("z", rates).alias("_z"), F.percentile("cusum", rates).alias("_c"))
-        q = q.select(*self.frame, F.posexplode(rates).alias("_i", "rate"), "_z", "_c")
-        cut = lambda c, fixed, default: F.lit(fixed) if fixed is not None else F.when(F.get(c, F.col("_i")).isNull(), F.lit(default)).otherwise(F.greatest(-F.get(c, F.col("_i")), F.lit(1.0)))
-        return q.select(*self.frame, "rate", cut("_z", self.threshold, DEFAULT_CUTOFF).alias("z_cutoff"), cut("_c", self.cusum_threshold, DEFAULT_CUSUM_CUTOFF).alias("cusum_cutoff"))
+        q = pooled_quantiles(scored, ("z", "cusum"), self.rates, self.frame)
+        cut = lambda c, fixed, default: F.lit(fixed) if fixed is not None else F.coalesce(F.greatest(-F.col(c), F.when(F.col(c).isNotNull(), 1.0)), F.lit(default))
+        return q.select(*self.frame, "rate", cut("z", self.threshold, DEFAULT_CUTOFF).alias("z_cutoff"), cut("cusum", self.cusum_threshold, DEFAULT_CUSUM_CUTOFF).alias("cusum_cutoff"))
+
+    def set_false_alarm_rate(self, rate: float, scored: DataFrame) -> tuple[Detector, DataFrame]:
+        """This detector at another rate, and its cut-offs from the scores that ``calibrated`` gave; nothing is fitted again."""
+        if not 0 < rate < 1:
+            raise ValueError(f"a false alarm rate lies between 0 and 1, not at {rate}")
+        other = replace(self, rates=(rate,))
+        return other, other.cutoffs(scored)
 
     def fit(self, operating: DataFrame, value: str = "value") -> tuple[DataFrame, DataFrame]:
         params, scored = self.calibrated(operating, value)
         return params, self.cutoffs(scored)
 
-    def detect(self, observed: DataFrame, params: DataFrame, cutoffs: DataFrame, value: str = "value") -> DataFrame:
+    def detect(self, observed: DataFrame, params: DataFrame, cutoffs: DataFrame, value: str = "value", short: bool = False) -> DataFrame:
         """Observed rows with expected, z, cusum, both cut-offs, is_anomaly and reason, per rate.
 
         The CUSUM starts at 0 with the rows it is given. Cut-offs are one row per fit and rate.
+        ``short`` says that the caller's frame bounds the rows of a series (a month, the serving
+        days), which then stay in SQL functions; long series stream through a loop.
         """
         rows = observed.join(params.drop("last_date"), list(self.by)).withColumn("expected", HierarchicalSeasonal.expected())
         rows = rows.withColumn("z", (F.col(value) - F.col("expected") - F.col("center")) / F.col("scale"))
         rows = rows.drop("level", "weekday_factors", "month_factors", "center", "scale")
         rows = rows.join(cutoffs, list(self.frame)) if self.frame else rows.crossJoin(F.broadcast(cutoffs))
-        rows = with_restart_cusum(rows, "cusum_cutoff", by=(*self.by, "rate"), drift=self.drift)
+        series = (*self.by, "rate")
+        rows = restart_cusum_fold(rows, F.col("cusum_cutoff"), by=series, drift=self.drift) if short else with_restart_cusum(rows, "cusum_cutoff", by=series, drift=self.drift)
         extreme = F.coalesce(F.col("z") <= -F.col("z_cutoff"), F.lit(False))
         drifted = F.col("cusum") <= -F.col("cusum_cutoff")
         return rows.withColumns({"is_anomaly": extreme | drifted, "reason": F.when(extreme, EXTREME).when(drifted, SUSTAINED).otherwise("")})

@@ -16,6 +16,7 @@ from .operators.forecast import HierarchicalSeasonal, SeasonalNaive
 from .operators.panel import to_wide
 from .plans import build, serving
 from .plans.panels import closed_panel, events_panel, events_rows, orders_panel, orders_status, shipments_panel, table
+from .scratch import written_once
 from .sources import catalog, geometry
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -316,12 +317,12 @@ SERVING_DAYS = 120
 
 
 def _flagged(spark, d, rates: tuple[float, ...] = (0.01,)) -> DataFrame:
-    panel = closed_panel(spark, d)
+    panel = written_once(closed_panel(spark, d), "panel")
     detector = Detector(rates=rates)
     params, cuts = detector.fit(panel, "target")
     last = panel.agg(F.max("date").alias("_l"))
     recent = panel.crossJoin(F.broadcast(last)).filter(F.col("date") > F.date_sub("_l", SERVING_DAYS)).drop("_l")
-    return detector.detect(recent, params, cuts, "ridership")
+    return detector.detect(recent, params, cuts, "ridership", short=True)
 
 
 @query
@@ -396,9 +397,9 @@ def ground_truth(spark, d):
 
 
 def _walked(spark, d) -> tuple[DataFrame, DataFrame]:
-    panel = closed_panel(spark, d)
+    panel = written_once(closed_panel(spark, d), "panel")
     flags = evaluation.walk_forward(panel, panel.select("series_id", "line_id", "date", F.col("target").alias("ridership")), RATES, value="ridership")
-    return flags, evaluation.ground_truth(panel)
+    return written_once(flags, "flags"), evaluation.ground_truth(panel)
 
 
 @query
