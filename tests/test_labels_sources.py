@@ -168,3 +168,12 @@ def test_download_and_ingest(spark, tmp_path):
     assert found.sha256 == digest and found.is_web_page is False
     with pytest.raises(PanelError):
         ridership.load_panel(spark, str(tmp_path / "nothing"))
+
+
+def test_ingest_report_survives_its_sidecar(spark, tmp_path):
+    csv = "fecha,anio,mes,linea,estacion,afluencia\n" + "".join(f"{y}-01-{i:02d},{y},Enero,Línea 1,Zócalo,{i - 1}\n" for y in (2023, 2024) for i in range(1, 7))
+    resource = {"id": "1", "url": "u", "last_modified": "2024-02", "size": len(csv.encode())}
+    new, fresh = ridership.ingest(spark, resource, str(tmp_path), min_rows=10, stream=lambda url: [csv.encode()])
+    assert fresh and new.report == {"n_rows": 12, "date_min": "2023-01-01", "date_max": "2024-01-06", "n_raw_line_labels": 1, "n_raw_station_labels": 1, "n_zero_rows": 2, "rows_per_year": {"2023": 6, "2024": 6}}
+    old, fresh = ridership.ingest(spark, resource, str(tmp_path), min_rows=10, stream=lambda url: [])
+    assert not fresh and old == new

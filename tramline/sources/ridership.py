@@ -91,7 +91,7 @@ def ingest(spark: SparkSession, resource, folder: str, force: bool = False, min_
     raw = read_ridership_csv(spark, str(root / "ridership.csv"))
     report = contract.validate(raw, min_rows)
     raw.withColumn("afluencia", F.col("afluencia").cast("long")).write.mode("overwrite").option("compression", "snappy").parquet(str(frozen))
-    result = IngestResult(resource["id"], resource["url"], resource["last_modified"], digest, size, asdict(report))
+    result = IngestResult(resource["id"], resource["url"], resource["last_modified"], digest, size, report.as_dict())
     sidecar.write_text(json.dumps(asdict(result), ensure_ascii=False, indent=1))
     return result, True
 
