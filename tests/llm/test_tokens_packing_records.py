@@ -35,6 +35,28 @@ def test_long_texts_without_spaces_take_no_cache(path):
     assert small.cache.held < 21_000
 
 
+@pytest.mark.parametrize("path", [BYTE, WORD])
+def test_chunks_met_once_take_no_cache(path):
+    e, plain = tokens.Encoder(path), Tokenizer.from_file(path)
+    once = " ".join(f"zq{'abcdefghij'[i % 10]}{'klmnopqrst'[i // 10]}xv" for i in range(100))
+    for kept in (False, True):
+        assert np.frombuffer(e.encode(once), f"<u{e.width}").tolist() == plain.encode(once, add_special_tokens=False).ids
+        assert (e.cache.held > 5000) is kept
+
+
+@pytest.mark.parametrize("path", [BYTE, WORD])
+def test_words_beside_marks_equal_the_plain_call(path):
+    e, plain = tokens.Encoder(path), Tokenizer.from_file(path)
+    rng = random.Random(9)
+    words = ["a", "Word", "étä", "ñb", "don", "s", "ª", "x1", "7", ""]
+    marks = [".", ",", ".\n", "$$$", "***", "!!", "'", "'s", ".'", "\n", ".\n\n", "\n.", "_", "-", "|", "§", "..\n"]
+    for _ in range(4000):
+        text = " ".join("".join(rng.choice(words) + rng.choice(marks) for _ in range(rng.randint(1, 3))) + rng.choice(words) for _ in range(rng.randint(1, 4)))
+        assert np.frombuffer(e.encode(text), f"<u{e.width}").tolist() == plain.encode(text, add_special_tokens=False).ids, repr(text)
+    for text in ("ab.\n" * 5000, "ab.\nab," * 5000, "ab." + "\n" * 5000):
+        assert np.frombuffer(e.encode(text), f"<u{e.width}").tolist() == plain.encode(text, add_special_tokens=False).ids
+
+
 def test_other_vocabularies_go_through_the_plain_call(tmp_path):
     import json
 

@@ -20,6 +20,8 @@ from tokenizers import Tokenizer
 CACHE_BYTES = 96_000_000
 #: Characters of the longest chunk that is kept.
 CHUNK_CHARS = 48
+#: Bits of the hash by which a chunk that was met before is known; a byte for each value.
+MET_BITS = 22
 
 #: The pre-tokenisation patterns that the two vocabularies were built with.
 BYTE_PIECES = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -27,6 +29,8 @@ WORD_PIECES = r"""'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"""
 
 #: Below this code point every Unicode version agrees on classes, and NFC changes nothing.
 PLAIN_BELOW = "ɐ"
+#: Marks that make one piece with their like after a letter; the apostrophe, which may begin a piece of its own, isn't one.
+MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
 #: What the two kinds do to a text before the model, in the vocabulary file's terms.
@@ -69,16 +73,22 @@ def _byte_alphabet() -> str:
 
 class _Chunks(dict):
     """Chunks and their ids; a chunk that isn't there yet is encoded when it is asked for, and kept
-    if it is short and there is room."""
+    if it is short, there is room, and it was met before: most distinct chunks of a large corpus
+    occur once. Whether it was met is told by a table of hashes, where a clash costs room alone."""
 
     def __init__(self, encode, room: int):
         self.encode, self.room, self.held = encode, room, 0
+        self.met = bytearray(1 << MET_BITS)
 
     def __missing__(self, chunk: str) -> bytes:
         got = self.encode(chunk)
         if len(chunk) <= CHUNK_CHARS and self.held < self.room:
-            self[chunk] = got
-            self.held += sys.getsizeof(chunk) + sys.getsizeof(got) + 100  # and its place in the table
+            at = hash(chunk) & (1 << MET_BITS) - 1
+            if self.met[at]:
+                self[chunk] = got
+                self.held += sys.getsizeof(chunk) + sys.getsizeof(got) + 100  # and its place in the table
+            else:
+                self.met[at] = 1
         return got
 
 
@@ -104,6 +114,8 @@ class Encoder:
             self.kind = None
         self.added = [t["content"] for t in added]
         self.model = self.tokenizer.model
+        if self.kind:
+            self.model._resize_cache(0)  # the chunks that the model gets are those that no cache knows
         self.find = regex.compile(BYTE_PIECES if self.kind == "byte" else WORD_PIECES).findall
         self.alphabet = {b: c for b, c in enumerate(_byte_alphabet())}
         self.cache = _Chunks(self._encode_chunk, cache_bytes)
@@ -122,6 +134,19 @@ class Encoder:
         shown = piece.encode().decode("latin-1").translate(self.alphabet)
         return self._pack([t.id for t in self.model.tokenize(shown)])
 
+    def _word(self, piece: str) -> bytes:
+        """The ids of a word beside punctuation, which may be a chunk of its own."""
+        return self.cache.get(piece) or self._piece(piece)
+
+    def _short(self, piece: str) -> bytes:
+        """The ids of a piece, which is kept if it is short."""
+        if len(piece) >= 4:
+            return self._piece(piece)
+        got = self.pieces.get(piece)
+        if got is None:
+            got = self.pieces[piece] = self._piece(piece)
+        return got
+
     def _encode_chunk(self, chunk: str) -> bytes:
         if not chunk.isascii() and max(chunk) >= PLAIN_BELOW:
             return self._pack(self.direct(chunk))
@@ -132,17 +157,20 @@ class Encoder:
                 return self._piece(chunk)
         elif chunk[1:].isalpha() and (chunk[0] == " " or chunk[0].isalpha()):
             return self._piece(chunk)
+        elif len(chunk) <= CHUNK_CHARS:
+            # A word and marks, and words beside a full stop and a line feed, are cut without the pattern.
+            word, stop, rest = chunk.partition(".\n")
+            if stop and rest[:1].isalpha() and word[1:].isalpha() and (word[0] == " " or word[0].isalpha()):
+                return self._word(word) + self._short(".") + self._short("\n") + (self._word(rest) if rest.isalpha() else self._encode_chunk(rest))
+            word = chunk.rstrip(MARKS)
+            if word[1:].isalpha() and (word[0] == " " or word[0].isalpha()) and len(word) < len(chunk):
+                return self._word(word) + self._short(chunk[len(word) :])
         out = []
         for piece in self.find(chunk):
-            if len(piece) < 4:
-                got = self.pieces.get(piece)
-                if got is None:
-                    got = self.pieces[piece] = self._piece(piece)
-            elif piece[1:].isalpha() and (piece[0] == " " or piece[0].isalpha()):
-                got = self.cache.get(piece) or self._piece(piece)  # a word beside punctuation may be a chunk of its own
+            if len(piece) >= 4 and piece[1:].isalpha() and (piece[0] == " " or piece[0].isalpha()):
+                out.append(self._word(piece))
             else:
-                got = self._piece(piece)
-            out.append(got)
+                out.append(self._short(piece))
         return b"".join(out)
 
     def _chunks(self, text: str) -> list[str]:
