@@ -48,6 +48,15 @@ def test_block_naming_of_odd_rows(odd, empty):
     assert kept.columns == odd.columns and kept.count() == len(by)
 
 
+def test_tables_that_are_read_once_are_not_written(spark, monkeypatch):
+    written, write = [], base.materialize
+    monkeypatch.setattr(base, "materialize", lambda df, name: written.append(name) or write(df, name))
+    docs = spark.createDataFrame([*corpus(60), (60, "x" * 700), (61, "x" * 700)], "doc_id long, text string").repartition(3)
+    rows = {r.doc_id: r for r in blocknames.exact_duplicates(docs, block_bytes=256).collect()}
+    assert (rows[60].group_size, rows[61].keep_id, rows[61].kept) == (2, 60, False)
+    assert written == ["blocks", "level0", "level1", "level2", "identities", "texts"]
+
+
 def test_row_numbers_are_steady(spark, odd, tmp_path):
     """A scan of files is numbered as it is; rows that may be dealt anew are written first."""
     spark.range(1000).repartition(7).write.parquet(f"{tmp_path}/t")

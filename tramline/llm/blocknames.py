@@ -8,7 +8,8 @@ share an identity exactly when they are equal.
 Distribution. Each task first names its own blocks and texts (a dictionary of bounded size),
 so what is shuffled has one row per block and task: a group of copies, however large, sends
 at most one row per task to any key. Names then come back over keys that belong to one task.
-Blocks are shuffled once; all later steps move integers. Every level is a written table.
+Blocks are shuffled once; all later steps move integers. Every level is a written table; names,
+which follow from the sorted rows alone, are read once, by the job that makes their level.
 """
 
 from __future__ import annotations
@@ -113,9 +114,9 @@ def identities(docs: DataFrame, block_bytes: int = BLOCK_BYTES, scope_bytes: int
 
     # Level 0: the blocks, one row per block and scope, sorted by content.
     blocks = cut.filter("kind = 2").select("scope", "lid", "block")
-    named = base.materialize(blocks.repartition("block").sortWithinPartitions("block").mapInArrow(_name_task(["block"], ["scope", "lid"]), "scope long, lid int, name long"), "names0")
+    named = blocks.repartition("block").sortWithinPartitions("block").mapInArrow(_name_task(["block"], ["scope", "lid"]), "scope long, lid int, name long")
     reps = cut.filter("kind = 1").select("scope", "rep", F.size("lids").alias("n_blocks"), "lids")
-    flat = reps.select("scope", "rep", "n_blocks", F.posexplode("lids").alias("pos", "lid")).join(named, ["scope", "lid"])
+    flat = reps.select("scope", "rep", "n_blocks", F.posexplode("lids").alias("pos", "lid")).join(named.hint("merge"), ["scope", "lid"])
     level = base.materialize(_gather(flat), "level0")
 
     # Above: pairs of adjacent names, until one name is left.
@@ -128,8 +129,8 @@ def identities(docs: DataFrame, block_bytes: int = BLOCK_BYTES, scope_bytes: int
         half = F.expr("transform(sequence(0, cast((size(names) - 1) div 2 as int)), i -> struct(i as pos, names[2 * i] as a, coalesce(get(names, 2 * i + 1), -1L) as b))")
         pairs = rest.select("scope", "rep", "n_blocks", F.inline(half))
         once = pairs.select("a", "b").distinct()
-        names = base.materialize(once.repartition("a", "b").sortWithinPartitions("a", "b").mapInArrow(_name_task(["a", "b"], ["a", "b"]), "a long, b long, name long"), f"names{depth}")
-        level = base.materialize(_gather(pairs.join(names, ["a", "b"])), f"level{depth}")
+        names = once.repartition("a", "b").sortWithinPartitions("a", "b").mapInArrow(_name_task(["a", "b"], ["a", "b"]), "a long, b long, name long")
+        level = base.materialize(_gather(pairs.join(names.hint("merge"), ["a", "b"])), f"level{depth}")
     whole = done[0]
     for part in done[1:]:
         whole = whole.unionByName(part)
@@ -153,7 +154,7 @@ def exact_duplicates(docs: DataFrame, uid: str | None = None, **how) -> DataFram
     order = F.struct((-F.col("n_chars")).alias("c"), F.col("doc_id").isNull().alias("z"), "doc_id", "uid")
     local = ids.groupBy("scope", "rep", "n_blocks", "name").agg(F.min(order).alias("best"), F.count("*").alias("n"))
     local = base.materialize(local, "texts")
-    groups = base.materialize(local.groupBy("n_blocks", "name").agg(F.min("best").alias("best"), F.sum("n").alias("group_size")), "groups")
+    groups = local.groupBy("n_blocks", "name").agg(F.min("best").alias("best"), F.sum("n").alias("group_size"))
     # One row per text and task meets its group; documents meet it over keys of one task.
     per_rep = local.select("scope", "rep", "n_blocks", "name").join(groups, ["n_blocks", "name"]).select("scope", "rep", F.col("best.doc_id").alias("keep_id"), F.col("best.uid").alias("keep_uid"), "group_size")
     out = ids.select("scope", "rep", "uid", "doc_id", "sha").join(per_rep, ["scope", "rep"])
