@@ -259,6 +259,23 @@ def test_signatures_estimate_weighted_similarity():
             assert abs((s[0] == s[1]).mean() - np.minimum(w, v).sum() / np.maximum(w, v).sum()) < 0.04
 
 
+def test_links_of_the_second_pass_join_classes_alone(spark):
+    """Not the links of the first pass again: what the search for components is given is no more than the new links."""
+    rng = random.Random(4)
+    first = [(rng.randrange(60), rng.randrange(60)) for _ in range(40)]
+    more = [(rng.randrange(90), rng.randrange(90)) for _ in range(25)]
+    frame = lambda rows: spark.createDataFrame([(min(r), max(r)) for r in rows if r[0] != r[1]], "a long, b long")
+    want = {r.node: r.root for r in graph.components(frame(first + more)).collect()}
+    given, components = [], graph.components
+    graph.components = lambda links: given.append(links.count()) or components(links)
+    try:
+        got = dartminhash._joined(components(frame(first)), frame(more))[0].collect()
+    finally:
+        graph.components = components
+    assert len(got) == len(want) and {r.node: r.root for r in got} == want
+    assert given == [frame(more).count()]
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(40)] + [(100, 101), (105, 101), (7, 7)]
     got = {r.node: r.root for r in graph.components(spark.createDataFrame(chain, "a long, b long")).collect()}

@@ -456,6 +456,20 @@ def _rest(rows: DataFrame, texts: DataFrame, similarity: float, words: int) -> D
     return links
 
 
+def _joined(roots: DataFrame, more: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(node, root) where ``more`` links are added, and the table that it reads beside ``roots``.
+
+    Only the classes that these links touch are joined anew; the links that made them aren't read again.
+    """
+    for c in ("a", "b"):
+        of = roots.select(F.col("node").alias(c), "root")
+        more = more.join(of.hint("merge"), c, "left").withColumn(c, F.coalesce("root", c)).drop("root")
+    top = graph.components(more.select("a", "b"))
+    over = top.select(F.col("node").alias("root"), F.col("root").alias("least"))
+    old = roots.join(over.hint("merge"), "root", "left").select("node", F.coalesce("least", "root").alias("root"))
+    return old.unionByName(top.join(roots.select("node").hint("merge"), "node", "left_anti")), top
+
+
 def near_duplicates(docs: DataFrame, uid: str | None = None, similarity: float = SIMILARITY, words: int = WORDS, bands: int = BANDS, rows: int = ROWS, block: int = BLOCK) -> DataFrame:
     """One row per row of ``docs``: uid, doc_id, class_id, class_uid, class_size, representative.
 
@@ -490,16 +504,16 @@ def near_duplicates(docs: DataFrame, uid: str | None = None, similarity: float =
     classes = firsts.select("uid", "n").join(roots.select(F.col("node").alias("uid"), "root").hint("merge"), "uid", "left").select("uid", "n", F.coalesce("root", "uid").alias("class"))
     met = found.filter("bh is not null").select("bh", F.col("a").alias("uid")).join(classes.hint("merge"), "uid")
     more = _rest(met, texts, similarity, words)
+    first = more_of = roots
     if not more.isEmpty():
-        base.discard(roots)
-        roots = graph.components(links.unionByName(more))
+        roots, more_of = _joined(first, more)
 
     named = nodes.join(roots, "node", "left").select("key1", "key2", F.coalesce("root", "node").alias("class_uid"))
     named = base.materialize(named, "classes")
     members = sets.select("uid", "doc_id", "key1", "key2").join(named, ["key1", "key2"]).select("uid", "doc_id", "class_uid")
     members = base.materialize(members, "members")
     heads = base.materialize(members.groupBy("class_uid").agg(F.count("*").alias("class_size"), F.min(F.struct("uid", "doc_id")).alias("head")), "heads")
-    base.discard(sets, nodes, found, pairs, links, more, roots, named, *([] if uid else [narrow]))
+    base.discard(sets, nodes, found, pairs, links, more, first, more_of, named, *([] if uid else [narrow]))
     out = members.join(heads, "class_uid")
     return out.select("uid", "doc_id", F.col("head.doc_id").alias("class_id"), F.col("head.uid").alias("class_uid"), "class_size", (F.col("uid") == F.col("head.uid")).alias("representative"))
 
